@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import lines, topk
 from .common import table
 
 
@@ -17,5 +18,35 @@ def op5_quality(spark, sf_dir):
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op5_quality)}
-ORACLE_SQL: dict[str, str] = {}
+def op2_html_text(spark, sf_dir):
+    from .html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op4_bpe(spark, sf_dir):
+    from .bpe import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
+def op6_line_dedup(spark, sf_dir):
+    from .lines import line_dedup
+
+    return line_dedup(table(spark, sf_dir, "documents"))
+
+
+def op8_best_fit(spark, sf_dir):
+    from .packing import best_fit
+
+    return best_fit(table(spark, sf_dir, "documents"))
+
+
+def op10_exact_top_k(spark, sf_dir):
+    from .topk import exact_top_k
+
+    return exact_top_k(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_html_text, op4_bpe, op5_quality, op6_line_dedup, op8_best_fit, op10_exact_top_k)}
+ORACLE_SQL: dict[str, str] = {"op6_line_dedup": lines.ORACLE, "op10_exact_top_k": topk.ORACLE}
