@@ -61,3 +61,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def with_fields(df: DataFrame, ddl: str) -> StructType:
     """The schema of df and, after it, the fields of ddl."""
     return StructType([*(StructField(f.name, f.dataType, True) for f in df.schema), *_parse_datatype_string(ddl)])
+
+
+#: Id sets up to this size are broadcast (8 bytes each); larger ones are joined by a shuffle.
+BROADCAST_IDS = 500_000
+
+
+def _sized(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("shuffle_merge")
+
+
+def keep_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose key stands in ids, a staged table of that one column."""
+    return rows.join(_sized(ids), key, "left_semi")
+
+
+def drop_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose key doesn't stand in ids; null keys stay."""
+    return rows.join(_sized(ids), key, "left_anti")

@@ -24,6 +24,12 @@ def op2_html_text(spark, sf_dir):
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op3_suffix_dedup(spark, sf_dir):
+    from .suffix_dedup import suffix_dedup
+
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark, sf_dir):
     from .bpe import round_trip
 
@@ -36,17 +42,29 @@ def op6_line_dedup(spark, sf_dir):
     return line_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_fingerprints(spark, sf_dir):
+    from .fingerprints import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit(spark, sf_dir):
     from .packing import best_fit
 
     return best_fit(table(spark, sf_dir, "documents"))
 
 
+def op9_near_dedup(spark, sf_dir):
+    from .near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4)
+
+
 def op10_exact_top_k(spark, sf_dir):
     from .topk import exact_top_k
 
     return exact_top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_html_text, op4_bpe, op5_quality, op6_line_dedup, op8_best_fit, op10_exact_top_k)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_html_text, op3_suffix_dedup, op4_bpe, op5_quality, op6_line_dedup, op7_fingerprints, op8_best_fit, op9_near_dedup, op10_exact_top_k)}
 ORACLE_SQL: dict[str, str] = {"op6_line_dedup": lines.ORACLE, "op10_exact_top_k": topk.ORACLE}
