@@ -17,9 +17,11 @@ repeated rows are encoded each.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import zlib
+from array import array
 from functools import partial
 
 import numpy as np
@@ -33,7 +35,7 @@ from .common import importable, map_arrow, partitions
 
 BLOCK_CHARS = 8_000_000
 #: Distinct words a worker remembers before it starts anew (where no table is kept).
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 #: A space that parts two words.
 BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 _loaded: dict[str, object] = {}
@@ -58,9 +60,47 @@ def tokenizer(path: str):
     return _loaded[path]
 
 
+def merger(path: str):
+    """A faster encoder of the same merges, or None where the file isn't byte-level BPE with ids in the order of the merges."""
+    key = f"merger:{path}"
+    if key not in _loaded:
+        with open(path, encoding="utf-8") as f:
+            parsed = json.load(f)
+        model, kind = parsed["model"], (parsed.get("pre_tokenizer") or {})
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", ())]
+        plain = not parsed.get("normalizer") and kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space")
+        ordered = all(model["vocab"].get(a + b) == 256 + i for i, (a, b) in enumerate(merges)) and sorted(model["vocab"].values()) == list(range(256 + len(merges)))
+        _loaded[key] = None
+        if model["type"] == "BPE" and plain and ordered and not model.get("ignore_merges"):
+            import public_tokenizers
+            import tiktoken
+
+            letter = byte_letters()
+            ranks = {bytes(letter[c] for c in word): i for word, i in model["vocab"].items()}
+            _loaded[key] = tiktoken.Encoding(key, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _loaded[key]
+
+
 def encode_words(path: str, words: list[str]) -> list[bytes]:
     """Ids of each word as little-endian unsigned 32-bit integers."""
-    return [np.array(e.ids, "<u4").tobytes() for e in tokenizer(path).encode_batch_fast(words, add_special_tokens=False)]
+    fast, specials = merger(path), special_tokens(path)
+    if fast is None or any(s in w for w in words for s in specials):
+        return [array("I", e.ids).tobytes() for e in tokenizer(path).encode_batch_fast(words, add_special_tokens=False)]
+    encode = fast.encode_ordinary
+    return [array("I", encode(w)).tobytes() for w in words]
+
+
+def special_tokens(path: str) -> tuple[str, ...]:
+    key = f"specials:{path}"
+    if key not in _loaded:
+        _loaded[key] = tuple(t.content for t in tokenizer(path).get_added_tokens_decoder().values())
+    return _loaded[key]
+
+
+def byte_letters() -> dict[str, int]:
+    """The byte for which each character of a byte-level vocabulary stands."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
 
 
 def words_of(text: str) -> list[str]:
@@ -74,30 +114,48 @@ def words_of(text: str) -> list[str]:
 
 
 class Encoder:
-    """Whole texts to ids, remembering the words it has met."""
+    """Whole texts to ids, remembering the words it has met lately."""
 
     def __init__(self, path: str):
         self.path = path
-        #: By word without the space before it; None where a space beside it doesn't part words.
+        #: By word without the space before it; None where a space beside it doesn't part words. Two generations, so that frequent words stay.
         self.known: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}
 
     def learn(self, words: set[str]) -> None:
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        again = words & self.older.keys()
+        self.known.update((w, self.older[w]) for w in again)
+        words = words - again
         plain = [w for w in words if w and not w[0].isspace() and not w[-1].isspace()]
         self.known.update(dict.fromkeys(words))
         self.known.update(zip(plain, encode_words(self.path, [" " + w for w in plain])))
 
-    def many(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").split(" ") for t in texts]
+    def many(self, texts: list[str | None]):
+        """The ids of each text; some texts at a time are held as words."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text or "")
+            size += len(held[-1])
+            if size >= 500_000:
+                yield from self._some(held)
+                held, size = [], 0
+        yield from self._some(held)
+
+    def _some(self, texts: list[str]) -> list[bytes]:
+        split = [t.split(" ") for t in texts]
         rest = set().union(*(x[1:] for x in split))
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        self.learn(rest - self.known.keys())
+            self.learn(rest)
+        else:
+            self.learn(rest - self.known.keys())
         heads = encode_words(self.path, [x[0] for x in split])
         out, get = [], self.known.get
         for text, words, head in zip(texts, split, heads):
             ids = list(map(get, words[1:]))
             if ids and (None in ids or not words[0] or words[0][-1].isspace()):
-                out.append(b"".join(encode_words(self.path, words_of(text or ""))))
+                out.append(b"".join(encode_words(self.path, words_of(text))))
             else:
                 out.append(head + b"".join(ids))
         return out
@@ -252,10 +310,9 @@ def pieces(path: str) -> list[bytes]:
     """The id-to-piece table: the bytes of every id."""
     key = f"pieces:{path}"
     if key not in _loaded:
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the vocabulary
-        letter = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
+        letter = byte_letters()
         vocabulary = tokenizer(path).get_vocab(with_added_tokens=True)
-        added = {t.content for t in tokenizer(path).get_added_tokens_decoder().values()}
+        added = set(special_tokens(path))
         table = [b""] * (max(vocabulary.values()) + 1)
         for word, i in vocabulary.items():
             table[i] = word.encode() if word in added else bytes(letter[c] for c in word)
