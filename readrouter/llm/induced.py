@@ -41,14 +41,15 @@ class Log:
             for positions, prefixes in _joined(parts):
                 path = os.path.join(self.folder, f"{self.name}-{symbol}-{len(self.written.setdefault(symbol, []))}")
                 with open(path, "wb") as f:
-                    positions.astype("<i8").tofile(f)
+                    positions.tofile(f)
                     prefixes.tofile(f)
+                self.kind = positions.dtype
                 self.written[symbol].append((path, len(positions)))
         self.parts, self.held = {}, 0
 
     def _read(self, path: str, n: int, remove: bool):
         with open(path, "rb") as f:
-            found = np.fromfile(f, "<i8", n), np.fromfile(f, np.uint8, n)
+            found = np.fromfile(f, self.kind, n), np.fromfile(f, np.uint8, n)
         if remove:
             os.unlink(path)
         return found
@@ -126,7 +127,8 @@ class Inducer:
             self._pass(lowest)
             return
         to = there[index]
-        order = np.argsort(to, kind="stable")
+        # Stable sorts of small integers are radix sorts.
+        order = np.argsort(to.astype(np.uint8) if self.text.dtype == np.uint8 else to, kind="stable")
         index, to = index[order], to[order]
         least = _range_minima(prefixes)
         first = np.concatenate([[True], to[1:] != to[:-1]])
@@ -199,7 +201,7 @@ def _names(text: np.ndarray, stars: np.ndarray, pad: int) -> tuple[np.ndarray, i
             inside = at + k < lengths[todo]
             symbol = np.where(inside, np.asarray(text[np.minimum(stars[todo] + at + k, len(text) - 1)]).astype(np.uint64), np.uint64(pad))
             key = symbol if width == 1 else (key << np.uint64(8)) | symbol
-        order = np.lexsort((key, group[todo]))
+        order = np.lexsort((key, group[todo])) if at else np.argsort(key)
         g, key = group[todo][order], key[order]
         new_group = np.concatenate([[True], g[1:] != g[:-1]])
         new = new_group | np.concatenate([[True], key[1:] != key[:-1]])
@@ -224,7 +226,7 @@ def _in_memory(names: np.ndarray, depth: int) -> np.ndarray:
         if step < n:
             following[:-step] = rank[step:]
         key = rank * (n + 2) + following
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         sorted_key = key[order]
         new = np.concatenate([[1], (sorted_key[1:] != sorted_key[:-1]).astype(np.int64)])
         rank = np.empty(n, np.int64)
@@ -234,14 +236,14 @@ def _in_memory(names: np.ndarray, depth: int) -> np.ndarray:
             return order
 
 
-def _prefixes(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
-    """Common prefixes, up to cap, of the suffixes at a and b."""
+def _prefixes(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int, copied: bool) -> np.ndarray:
+    """Common prefixes, up to cap, of the suffixes at a and b; by words of 8 bytes where the text may be copied to memory."""
     out = np.zeros(len(a), np.int64)
     n = len(text)
     wide = text.dtype == np.uint8
     width = 8 if wide else 1
     if wide:
-        data = np.concatenate([np.asarray(text), np.zeros(8, np.uint8)]) if not isinstance(text, np.memmap) else None
+        data = np.concatenate([np.asarray(text), np.zeros(8, np.uint8)]) if copied else None
     todo = np.arange(len(a))
     at = 0
     while len(todo) and at < cap:
@@ -291,14 +293,16 @@ def sorted_suffixes(text: np.ndarray, cap: int = 200, limit: int = 1 << 24, fold
     n = len(text)
     if not n:
         return
+    kind = np.int32 if n < 1 << 31 else np.int64
     with tempfile.TemporaryDirectory(dir=folder) as here:
         smaller = smaller_types(text)
-        stars = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
+        stars = (np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1).astype(kind)
+        del smaller
         order = sort_stars(text, stars, cap, limit, here, 255 if text.dtype == np.uint8 else int(text.max()) + 1)
         stars = stars[order]
         star_prefix = np.zeros(len(stars), np.uint8)
         if len(stars) > 1:
-            star_prefix[1:] = _prefixes(text, stars[:-1], stars[1:], cap)
+            star_prefix[1:] = _prefixes(text, stars[:-1], stars[1:], cap, n <= limit)
         heads = np.asarray(text[stars]).astype(np.int64)
         symbols = np.unique(text).astype(np.int64)
         bounds = dict(zip(symbols.tolist(), zip(np.searchsorted(heads, symbols).tolist(), np.searchsorted(heads, symbols, "right").tolist())))
@@ -311,7 +315,7 @@ def sorted_suffixes(text: np.ndarray, cap: int = 200, limit: int = 1 << 24, fold
 
         queue, large = Log(here, "l", limit), Log(here, "large", limit)
         rising = Inducer(text, queue, cap, True)
-        queue.put(int(text[n - 1]), np.array([n - 1]), np.zeros(1, np.uint8))
+        queue.put(int(text[n - 1]), np.array([n - 1], kind), np.zeros(1, np.uint8))
         rising._pass(cap)
         rising.since[int(text[n - 1])], rising.marks[int(text[n - 1])] = 0, rising.clock
         ends: dict[int, int] = {}  # the last L suffix of each symbol
