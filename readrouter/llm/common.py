@@ -79,3 +79,16 @@ def keep_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 def drop_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """The rows whose key doesn't stand in ids; null keys stay."""
     return rows.join(_sized(ids), key, "left_anti")
+
+
+def slices(batch, text_at: int, size: int = 1_000_000):
+    """The batch in parts of about `size` bytes of text, so that what is made of it stays small."""
+    import pyarrow.compute as pc
+
+    if not batch.num_rows:
+        return
+    lengths = pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy(zero_copy_only=False)
+    parts = (lengths.cumsum() - lengths) // size
+    edges = [0, *((parts[1:] != parts[:-1]).nonzero()[0] + 1).tolist(), batch.num_rows]
+    for a, b in zip(edges, edges[1:]):
+        yield batch.slice(a, b - a)

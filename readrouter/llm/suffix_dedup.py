@@ -1,8 +1,9 @@
 """Exact-substring dedup by suffix arrays.
 
-A window is a string of `length` bytes. Every window has an anchor, its 16-byte gram of least hash (the leftmost of equal
+A window is a string of `length` bytes. Every window has an anchor, its gram of GRAM bytes of least hash (the leftmost of equal
 ones), so equal windows have equal anchors at equal places. The windows of one anchor follow each other and span a snippet.
-Only anchors whose gram is an anchor elsewhere can hold repeated windows. Equal snippets are collapsed with their number. The
+Only anchors whose gram is an anchor elsewhere can hold repeated windows. Snippets are counted by anchor and digest before they are
+shuffled, so equal ones, however many, are one row with their number from there on. The
 different snippets of an anchor meet in one shard, where external induced sorting gives all suffixes in order with their common
 prefixes: a window is repeated if a neighbour in that order shares `length` bytes with it, or if its snippet was collapsed. All
 bytes of repeated windows go.
@@ -25,24 +26,27 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_ids, keep_ids, map_arrow, partitions, stage
+from .common import drop_ids, keep_ids, map_arrow, partitions, slices, stage
 from .induced import sorted_suffixes
 from .near_dedup import GOLDEN, MIX_1, MIX_2
 
-LENGTH, GRAM = 200, 16
+LENGTH, GRAM = 200, 32
 #: Bytes that are hashed at once; a longer text is taken in overlapping parts.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
+#: Shards for each shuffle partition.
+SHARDS = 3
 _PLACE = np.uint64((1 << 24) - 1)
 ROWS = "anchor bigint, digest bigint, doc_id bigint, first int, last int"
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of the 16 bytes from each position on."""
+    """Hash of the GRAM bytes from each position on."""
     n = len(data) - GRAM + 1
-    low = np.ndarray(shape=n, dtype="<u8", buffer=data, strides=(1,))
-    high = np.ndarray(shape=n, dtype="<u8", buffer=data, offset=8, strides=(1,))
-    h = (low * MIX_1) ^ (high * MIX_2)
-    h ^= h >> np.uint64(29)
+    h = np.zeros(n, np.uint64)
+    for k in range(0, GRAM, 8):
+        h ^= np.ndarray(shape=n, dtype="<u8", buffer=data, offset=k, strides=(1,))
+        h *= MIX_1 if k % 16 else MIX_2
+        h ^= h >> np.uint64(29)
     h *= GOLDEN
     h ^= h >> np.uint64(32)
     return h
@@ -108,7 +112,7 @@ def _anchors(batches, length):
 
 
 def _cut_snippets(batches, length):
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, 0)):
         for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             data = text.encode("utf-8", "surrogatepass")
             snippets = [data[w["first"] : w["last"] + length] for w in wanted]
@@ -170,17 +174,17 @@ def spans(documents: DataFrame, length: int = LENGTH, limit: int = 1 << 24) -> D
     """doc_id and spans (array of from, to: byte offsets, not merged) of the documents that lose bytes."""
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    every = map_arrow(docs, partial(_anchors, length=length), ROWS)
+    every = stage(map_arrow(docs, partial(_anchors, length=length), ROWS), "windows")
     by_anchor = Window.partitionBy("anchor")
-    met = every.withColumn("_n", F.count("*").over(by_anchor)).where(F.col("_n") > 1)
-    mixed = met.withColumn("mixed", F.min("digest").over(by_anchor) != F.max("digest").over(by_anchor)).drop("_n")
-    met = stage(mixed, "anchors")
-    snippets = met.where("mixed").groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "first", "last")).alias("at"))
+    counts = every.groupBy("anchor", "digest").agg(F.count("*").alias("n"))
+    repeated = counts.withColumn("_all", F.sum("n").over(by_anchor)).withColumn("mixed", F.count("*").over(by_anchor) > 1).where(F.col("_all") > 1).drop("_all")
+    met = stage(every.join(repeated, ["anchor", "digest"]), "anchors")
+    snippets = met.where("mixed").groupBy("anchor", "digest", "n").agg(F.min(F.struct("doc_id", "first", "last")).alias("at"))
     wanted = snippets.select("anchor", "digest", "n", "at.*").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "digest", "n", "first", "last")).alias("wanted"))
     wanted = stage(wanted, "wanted")
     holders = keep_ids(docs, wanted.select("doc_id"), "doc_id").dropDuplicates(["doc_id"])
     cut = map_arrow(holders.join(wanted, "doc_id").select("text", "wanted"), partial(_cut_snippets, length=length), "anchor bigint, digest bigint, n bigint, snippet binary")
-    shards = cut.repartition(partitions(spark), "anchor")
+    shards = cut.repartition(SHARDS * partitions(spark), "anchor")
     runs = stage(map_arrow(shards, partial(_sort_shard, length=length, limit=limit), "anchor bigint, digest bigint, runs array<struct<from:int,to:int>>"), "runs")
     whole = met.where("not mixed").select("doc_id", F.col("first").alias("from"), (F.col("last") + length).alias("to"))
     parts = met.where("mixed").join(runs, ["anchor", "digest"]).select("doc_id", "first", F.explode("runs").alias("run"))
@@ -208,7 +212,7 @@ def _remaining(data: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 
 def _digests(batches):
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, 1)):
         rows = {"doc_id": batch.column(0), "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []}
         for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             data, runs = (text or "").encode("utf-8", "surrogatepass"), merge(found)
