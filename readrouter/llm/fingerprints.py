@@ -151,7 +151,7 @@ def _likeness(pair: str) -> Column:
 def fingerprints(documents: DataFrame) -> DataFrame:
     """The op7 contract: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     ordered = _edited(with_next(documents))
-    rows = ordered.select("bucket", "doc_id", "next_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "text", "edited", "next_text")
+    rows = ordered.select("bucket", "doc_id", "next_id", "n_chars", F.unhex(F.sha2("edited", 256)).alias("edited_sha256"), "text", "edited", "next_text")
     keys = ["bucket", "doc_id", "next_id", "n_chars", "edited_sha256"]
     first = stage(sketch_and_compare(rows, keys, ["text", "edited", "next_text"], [(0, 1), (0, 2)], [0, 1]), "fingerprints")
     docs = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -170,7 +170,7 @@ def fingerprints(documents: DataFrame) -> DataFrame:
         better = found.where("not failed_0_1 and not failed_0_2") if attempt + 1 < RETRIES else found
         again = better if again is None else again.unionByName(better)
         todo = found.where("failed_0_1 or failed_0_2").select("doc_id", "next_id")
-    near = first.select("doc_id", "n_chars", "edited_sha256", F.col("print_0").alias("fingerprint"), F.col("print_1").alias("edited_fingerprint"), _likeness("0_1").alias("near_edited"), _likeness("0_2").alias("near_next"))
+    near = first.select("doc_id", "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"), F.col("print_0").alias("fingerprint"), F.col("print_1").alias("edited_fingerprint"), _likeness("0_1").alias("near_edited"), _likeness("0_2").alias("near_next"))
     if again is not None:
         new = again.select("doc_id", _likeness("0_1").alias("_e"), _likeness("0_2").alias("_x"))
         near = near.join(new, "doc_id", "left").withColumn("near_edited", F.coalesce("_e", "near_edited")).withColumn("near_next", F.coalesce("_x", "near_next")).drop("_e", "_x")
