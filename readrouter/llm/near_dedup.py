@@ -7,10 +7,12 @@ set sizes, decides whether a similarity at the threshold is still possible; what
 
 1. Documents of equal sets are one class, represented by the smallest id.
 2. Every class is compared with the smallest id of each of its buckets; verified links give components.
-3. In buckets that still hold several components, classes of different ones are compared. So every pair that shares a
-   bucket is either verified or already connected, without all pairs of a group of copies.
+3. Buckets that still hold several components make clusters of classes that share them. Within a cluster, classes of different components
+   are verified by the bits of their shared shingles, in blocks of bounded size; only links that join two components come out. So every
+   pair that shares a bucket is either verified or already connected, and no pair but a link is ever a row.
 
-Two sets at a similarity of 0.8 share no bucket with a chance of about 1e-6 (24 bands of 4 registers), and more similar ones far less.
+Two sets at a similarity of 0.8 share no bucket with a chance of about 4e-7 (28 bands of 4 registers), and more similar ones far less.
+BASE is near 1, as unrelated sets of one size would often be equal in registers of a few bits.
 
 Defined results: null and empty texts, and texts of white space, have no shingles, are linked with nothing and are kept; texts of fewer words
 than a shingle are one shingle of all words; repeated rows of one id are one node and are kept or dropped together; a
@@ -27,16 +29,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_ids, map_arrow, partitions, stage
+from .common import keep_ids, map_arrow, partitions, slices, stage
 
-BANDS, ROWS, BASE = 24, 4, 1.3
+BANDS, ROWS, BASE = 28, 4, 1.01
+#: Added to a register, so that values above 1 have room below it.
+ZERO = 2000
 REGISTERS = BANDS * ROWS
-#: Members of a bucket that are compared in one place, and partners of one document that are verified in one place.
-BLOCK, PARTNERS = 4096, 1000
+#: Members of a cluster and shingles of them that are compared in one place, and partners of one document that are verified in one place.
+BLOCK, BLOCK_SHINGLES, PARTNERS = 2048, 1_000_000, 1000
 #: Log-likelihood that a similarity at the threshold may lose against the best one before the pair is given up.
 SLACK = 18.0
 #: Bytes of text that are hashed at once.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 
 # Odd multipliers and the finaliser of the splitmix64 generator: fixed values.
 GOLDEN, MIX_1, MIX_2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -102,8 +106,8 @@ def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
 
 
 def sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """Registers of each set, a row of bytes each; an empty set has zeros."""
-    out = np.zeros((len(sets), REGISTERS), np.uint8)
+    """Registers of each set, a row of 16-bit numbers each; an empty set has zeros."""
+    out = np.zeros((len(sets), REGISTERS), np.uint16)
     todo = [i for i, s in enumerate(sets) if len(s)]
     reach = np.log(REGISTERS) + 3.0
     while todo:
@@ -124,8 +128,8 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
             np.minimum.at(least, of * REGISTERS + register, at)
         least = least.reshape(-1, REGISTERS)
         filled = np.isfinite(least).all(1)
-        values = np.clip(np.floor(1 - np.log(least[filled]) / np.log(BASE)) + 64, 0, 255)
-        out[np.array(todo)[filled]] = values.astype(np.uint8)
+        values = np.clip(np.floor(1 - np.log(least[filled]) / np.log(BASE)) + ZERO, 0, 65535)
+        out[np.array(todo)[filled]] = values.astype(np.uint16)
         todo = [i for i, ok in zip(todo, filled) if not ok]
         reach *= 2
     return out
@@ -151,7 +155,7 @@ def possible(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, thr
 
 
 def _sketch(batches, words):
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, 1)):
         sets = shingle_sets(batch.column(1).to_pylist(), words)
         keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
         yield pa.RecordBatch.from_arrays(
@@ -160,7 +164,7 @@ def _sketch(batches, words):
 
 
 def _registers(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, REGISTERS)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
 
 
 def _likely(batches, threshold):
@@ -172,38 +176,50 @@ def _likely(batches, threshold):
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in batch.columns[:2]], ["a", "b"])
 
 
-def _between(batches, threshold):
-    """Pairs of different components within a block pair of a bucket, whose rows come one after another."""
+def _links(ids: np.ndarray, component: np.ndarray, side: np.ndarray, one: bool, sets: list[np.ndarray], threshold: float):
+    """Links between different components of a block, or of a pair of blocks; one for each two components that meet."""
+    size, percent = len(ids), round(threshold * 100)
+    every, times = np.unique(np.concatenate(sets), return_counts=True)
+    shared = every[times > 1]
+    width = -(-max(len(shared), 1) // 64)
+    bits = np.zeros((size, width), np.uint64)
+    for i, s in enumerate(sets):
+        at = np.searchsorted(shared, s)
+        at = at[(at < len(shared)) & (shared[np.minimum(at, max(len(shared) - 1, 0))] == s)] if len(shared) else at[:0]
+        row = np.zeros(width * 64, bool)
+        row[at] = True
+        bits[i] = np.packbits(row).view(np.uint64)
+    n = np.array(list(map(len, sets)))
+    kinds, label, counts = np.unique(component, return_inverse=True, return_counts=True)
+    large = label == counts.argmax()
+    index = np.arange(size)
+    for i in np.flatnonzero(~large).tolist():
+        other = np.flatnonzero((label != label[i]) & (large | (index > i)) & (one | (side != side[i])) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
+        for start in range(0, len(other), 4096):
+            near = other[start : start + 4096]
+            common = np.bitwise_count(bits[near] & bits[i]).sum(1, dtype=np.int64)
+            for j in near[100 * common >= percent * (n[near] + n[i] - common)].tolist():
+                if label[j] != label[i]:
+                    yield min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))
+                    label[label == label[j]] = label[i]
+
+
+def _between(batches, words, threshold):
+    """Links of different components within the blocks of clusters, whose rows come one after another."""
     held: list[dict] = []
     key = None
 
-    def pairs():
-        size = len(held)
-        if size < 2 or len({r["component"] for r in held}) < 2:
+    def flush():
+        if len({r["component"] for r in held}) < 2:
             return
         ids, component, side = (np.array([r[k] for r in held]) for k in ("rep", "component", "block"))
-        n = np.array([r["n"] for r in held])
-        registers = np.frombuffer(b"".join(r["registers"] for r in held), np.uint8).reshape(size, -1)
-        kinds, counts = np.unique(component, return_counts=True)
-        large = kinds[counts.argmax()]
-        rest = np.flatnonzero(component != large)
-        one = key[1] == key[2]
-        for i in rest.tolist():
-            other = (component != component[i]) & ((component == large) | (np.arange(size) > i)) & (one | (side != side[i]))
-            other = np.flatnonzero(other & (np.minimum(n, n[i]) >= (threshold - 1e-9) * np.maximum(n, n[i])))
-            if len(other):
-                ok = possible(registers[[i]], registers[other], n[[i]], n[other], threshold)
-                for j in other[ok].tolist():
-                    yield min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))
-
-    def flush():
-        found = sorted(set(pairs()))
+        found = list(_links(ids, component, side, key[1] == key[2], shingle_sets([r["text"] for r in held], words), threshold))
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["a", "b"])
 
     for batch in batches:
         for row in batch.to_pylist():
-            if (new := (row["bucket"], row["low"], row["high"])) != key:
+            if (new := (row["cluster"], row["low"], row["high"])) != key:
                 yield from flush()
                 held, key = [], new
             held.append(row)
@@ -214,7 +230,7 @@ def _verify(batches, words, threshold):
     """Links of a pivot with the partners that follow it; the pivot's row comes first."""
     pivot, own = None, None
     percent = round(threshold * 100)
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, 2)):
         found = []
         rows = batch.to_pylist()
         for row, shingles in zip(rows, shingle_sets([r["text"] for r in rows], words)):
@@ -256,7 +272,8 @@ def components(links: DataFrame) -> DataFrame:
         if now == before or not now[0]:
             break
         before = now
-    return edges.groupBy("x").agg(F.min("y").alias("component")).select(F.col("x").alias("node"), "component")
+    found = edges.groupBy("x").agg(F.min("y").alias("component")).select(F.col("x").alias("node"), "component")
+    return found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
 
 
 def near_duplicates(documents: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -270,7 +287,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, threshold: float = 0.8
     # The representatives' registers; an id stands for one set here, so rows that repeat an id count once.
     registers = real.select(F.col("doc_id").alias("rep"), "set_key", "registers").join(classes, ["rep", "set_key"], "left_semi")
     nodes = stage(registers.dropDuplicates(["rep", "set_key"]).join(classes, ["rep", "set_key"]).select("rep", "n", "registers"), "nodes")
-    keys = F.array(*(F.xxhash64(F.lit(i), F.substring("registers", i * ROWS + 1, ROWS)) for i in range(BANDS)))
+    keys = F.array(*(F.xxhash64(F.lit(i), F.substring("registers", 2 * i * ROWS + 1, 2 * ROWS)) for i in range(BANDS)))
     bands = nodes.select("rep", F.explode(keys).alias("bucket"))
     buckets = bands.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.max("rep").alias("_last"), F.count("*").alias("size")).where("pivot <> _last").drop("_last")
     met = stage(bands.join(buckets, "bucket"), "met")
@@ -287,14 +304,16 @@ def near_duplicates(documents: DataFrame, words: int = 5, threshold: float = 0.8
     labels = components(links)
     labelled = met.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low <> _high").select("bucket")
-    rows = stage(labelled.join(mixed, "bucket", "left_semi").select("bucket", "rep", "component", "size"), "mixed")
-    # A bucket of many members is compared block by block, each pair of blocks in a place of its own.
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("bucket", F.least("block", "_other").alias("low"), F.greatest("block", "_other").alias("high"), "rep", "component", "block")
-    dealt = dealt.join(nodes, "rep").repartition(partitions(spark), "bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "rep")
-    cross = stage(map_arrow(dealt, partial(_between, threshold=threshold), "a bigint, b bigint").distinct(), "cross")
-    more = stage(verified(cross, texts, words, threshold), "more")
+    rows = stage(labelled.join(mixed, "bucket", "left_semi").select("rep", "pivot", "component"), "mixed")
+    clusters = components(rows.select(F.col("pivot").alias("a"), F.col("rep").alias("b")))
+    members = rows.select("rep", "component").distinct().join(clusters.withColumnRenamed("node", "rep").withColumnRenamed("component", "cluster"), "rep").join(nodes.select("rep", "n"), "rep")
+    members = stage(members, "members")
+    # A large cluster is compared block by block, each pair of blocks in a place of its own.
+    parts = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("_of"), F.countDistinct("component").alias("_kinds")).where("_kinds > 1")
+    dealt = members.join(parts, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("_of")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)))
+    dealt = dealt.select("cluster", F.least("block", "_other").alias("low"), F.greatest("block", "_other").alias("high"), "rep", "component", "block")
+    dealt = dealt.join(texts, "rep").repartition(partitions(spark), "cluster", "low", "high").sortWithinPartitions("cluster", "low", "high", "rep")
+    more = stage(map_arrow(dealt, partial(_between, words=words, threshold=threshold), "a bigint, b bigint"), "more")
     final = components(links.unionByName(more)) if more.head(1) else labels
     of_set = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     found = sketched.drop("registers").join(of_set, "set_key", "left")
