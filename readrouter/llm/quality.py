@@ -115,7 +115,7 @@ def estimate_prior(zp: np.ndarray, zu: np.ndarray) -> float:
 def fit(p: np.ndarray, u: np.ndarray) -> QualityModel:
     if not len(p) or not len(u):
         return QualityModel(0.5, np.zeros(N_STATISTICS), np.ones(N_STATISTICS), [])
-    mean, scale = p.mean(0), np.maximum(p.std(0), 1e-3) * 2
+    mean, scale = p.mean(0), np.maximum(np.concatenate([p, u]).std(0), 1e-3)
     p, u = (np.clip((x - mean) / scale, -8, 8) for x in (p, u))
     first = fit_nnpu(p, u, None)
     prior = estimate_prior(_forward(p, first)[1], _forward(u, first)[1])
