@@ -1,9 +1,10 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
 A code is the signs of a vector's components. It is cut into segments, each with an index from the segment's bits to codes.
-A query asks every segment for values at radius 0, 1, 2, ...: once all values within radius s have been asked for, every code
-nearer than segments * (s + 1) has been met, as some segment of it differs in s bits at most. A query ends when its kth verified
-distance lies under that bound, so results are exact.
+A query asks the segments for values at radius 0, 1, 2, ...: with m segments, once all have been asked within radius s - 1 and a of them at
+radius s, every code within distance m * s + a - 1 has been met, as otherwise all its segments would differ in more bits than were
+asked for. The kth verified distance so far tells how many segments a query must still ask, and codes farther than it are not
+taken from a bucket. A query ends when that distance is covered, so results are exact, ties included.
 
 Equal codes are one entry that keeps its k smallest ids, more of which no result can hold; so large groups of equal vectors
 neither fill a bucket nor multiply candidates. Ties are broken by the smaller id.
@@ -14,7 +15,6 @@ components past `bits` are an error; a row with a null id is neither searched no
 
 from __future__ import annotations
 
-import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 
 from .common import stage
 
+#: Most bits of a segment.
+WIDTH = 16
+
 
 def code(vector: Column, bits: int = 64) -> Column:
     """The signs of the first `bits` components, component i at bit i."""
@@ -37,39 +40,37 @@ def _segment(value: Column, at: int, width: int) -> Column:
 
 def search(rows: DataFrame, queries: DataFrame, k: int, bits: int = 64, segments: int | None = None) -> DataFrame:
     """rows and queries: id (bigint), code (bigint). Returns query_id, rank, id, distance: the k nearest of all rows by (distance, id)."""
-    spark = rows.sparkSession
     rows, queries = rows.where(F.col("id").isNotNull()), queries.where(F.col("id").isNotNull())
     # Equal codes once, with the k smallest ids; WindowGroupLimit prunes before the shuffle.
     by_code = Window.partitionBy("code").orderBy("id")
     kept = rows.withColumn("_n", F.row_number().over(by_code)).where(F.col("_n") <= k)
     entries = stage(kept.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")), "codes")
-    n = entries.count()
+    n = entries.agg(F.sum(F.size("ids"))).first()[0] or 0
     if segments is None:
-        segments = next(m for m in (1, 2, 4, 8, 16, 32, 64) if bits % m == 0 and bits // m <= max(8, min(16, math.log2(max(n, 2)))))
-    width = bits // segments
-    asked = queries.groupBy("code").agg(F.min("id").alias("_any"))  # equal queries are searched once
-    asked = stage(asked.select(F.col("code").alias("_q")), "queries")
-    index = stage(entries.select("code", F.posexplode(F.array(*(_segment(F.col("code"), s, width) for s in range(segments)))).alias("_seg", "_value")), "index")
-    total = n
-    found = None
-    open_queries = asked
+        segments = next(m for m in (1, 2, 4, 8, 16, 32, 64) if bits % m == 0 and bits // m <= WIDTH)
+    width, least = bits // segments, min(k, n)
+    cut = lambda c: F.array(*(_segment(F.col(c), s, width) for s in range(segments)))
+    asked = stage(queries.select(F.col("code").alias("_q")).distinct(), "queries")  # equal queries are searched once
+    index = stage(entries.select("code", F.size("ids").alias("_rows"), F.col("ids")[0].alias("_first"), F.posexplode(cut("code")).alias("_seg", "_value")), "index")
+    waiting, found = asked.withColumn("_bound", F.lit(None).cast("int")), None
     for radius in range(width + 1):
-        masks = [sum(1 << i for i in c) for c in combinations(range(width), radius)]
-        probe = open_queries.select(
-            "_q", F.posexplode(F.array(*(_segment(F.col("_q"), s, width) for s in range(segments)))).alias("_seg", "_part")
-        ).select("_q", "_seg", F.explode(F.transform(F.lit(masks).cast("array<bigint>"), lambda m: F.col("_part").bitwiseXOR(m))).alias("_value"))
-        met = probe.join(index, ["_seg", "_value"]).select("_q", "code").distinct().withColumn("distance", F.bit_count(F.col("_q").bitwiseXOR(F.col("code"))).cast("int"))
-        met = met.join(entries.select("code", F.size("ids").alias("_rows"), F.col("ids")[0].alias("_first")), "code")
+        masks = F.lit([sum(1 << i for i in c) for c in combinations(range(width), radius)]).cast("array<bigint>")
+        ask = F.coalesce(F.least(F.lit(segments), F.col("_bound") + 1 - segments * radius), F.lit(segments))
+        probe = waiting.select("_q", "_bound", F.posexplode(F.slice(cut("_q"), F.lit(1), ask)).alias("_seg", "_part"))
+        probe = probe.select("_q", "_bound", "_seg", F.explode(F.transform(masks, lambda m: F.col("_part").bitwiseXOR(m))).alias("_value"))
+        distance = F.bit_count(F.col("_q").bitwiseXOR(F.col("code"))).cast("int")
+        # Spark would guess the probes' size from the queries'; they are dealt by key instead of broadcast.
+        met = probe.hint("merge").join(index, ["_seg", "_value"]).withColumn("distance", distance).where(F.col("distance") <= F.coalesce("_bound", F.lit(bits)))
+        met = met.select("_q", "code", "distance", "_rows", "_first").distinct()
         every = met.unionByName(found).dropDuplicates(["_q", "code"]) if found is not None else met
         # A row of the result stands in one of the first k codes by distance and smallest id.
         nearest = Window.partitionBy("_q").orderBy("distance", "_first")
-        best = every.withColumn("_n", F.row_number().over(nearest)).where(F.col("_n") <= k).drop("_n")
-        found = stage(best, f"found{radius}")
-        covered = segments * (radius + 1)
-        upto = Window.partitionBy("_q").orderBy("distance", "_first").rowsBetween(Window.unboundedPreceding, 0)
-        full = found.withColumn("_sum", F.sum("_rows").over(upto)).where((F.col("_sum") >= min(k, total)) & (F.col("distance") < covered)).select("_q").distinct()
-        open_queries = stage(asked.join(full, "_q", "left_anti"), f"open{radius}")
-        if not open_queries.head(1):
+        found = stage(every.withColumn("_n", F.row_number().over(nearest)).where(F.col("_n") <= k).drop("_n"), f"found{radius}")
+        upto = nearest.rowsBetween(Window.unboundedPreceding, 0)
+        kth = found.withColumn("_sum", F.sum("_rows").over(upto)).where(F.col("_sum") >= least).groupBy("_q").agg(F.min("distance").alias("_kth"))
+        still = waiting.withColumn("_covered", segments * radius + ask - 1).join(kth, "_q", "left").where(F.col("_kth").isNull() | (F.col("_kth") > F.col("_covered")))
+        waiting = stage(still.select("_q", F.col("_kth").alias("_bound")), f"waiting{radius}")
+        if not waiting.head(1):
             break
     pairs = found.join(entries, "code").select("_q", "distance", F.explode("ids").alias("id"))
     ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("_q").orderBy("distance", "id"))).where(F.col("rank") <= k)
