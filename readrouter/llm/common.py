@@ -67,18 +67,19 @@ def with_fields(df: DataFrame, ddl: str) -> StructType:
 BROADCAST_IDS = 500_000
 
 
-def _sized(ids: DataFrame) -> DataFrame:
+def sized(ids: DataFrame) -> DataFrame:
+    """A staged table of a few bytes for each id, to be broadcast where it is small and else dealt by a shuffle."""
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("shuffle_merge")
 
 
 def keep_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """The rows whose key stands in ids, a staged table of that one column."""
-    return rows.join(_sized(ids), key, "left_semi")
+    return rows.join(sized(ids), key, "left_semi")
 
 
 def drop_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """The rows whose key doesn't stand in ids; null keys stay."""
-    return rows.join(_sized(ids), key, "left_anti")
+    return rows.join(sized(ids), key, "left_anti")
 
 
 def slices(batch, text_at: int, size: int = 1_000_000):

@@ -23,12 +23,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep_ids, partitions, stage
+from .common import keep_ids, partitions, sized, stage
 
-UNIT_WORDS, SHARD_ELEMENTS = 12, 16
+UNIT_WORDS, SHARD_ELEMENTS = 16, 16
 #: Cells in each of the three parts of a shard.
 PART = 11
 RETRIES, ROUNDS = 2, 8
+#: A shard with next to no empty cell, or whose empty cells tell of this share of differing elements, counts as all different.
+SATURATED = 0.7
 #: Ranges of ids for each shuffle partition.
 RANGES = 4
 
@@ -95,8 +97,8 @@ def _peeled(cells: str, width: int) -> str:
     return f"aggregate(sequence(1, {ROUNDS}), named_struct('c', {cells}, 'n', 0), (s, r) -> {step})"
 
 
-def sketch_and_compare(rows: DataFrame, keys: list[str], kinds: list[str], pairs: list[tuple[int, int]], prints: list[int], width: int = PART) -> DataFrame:
-    """Sketches of the text columns `kinds` of each row and the differences of the pairs of them.
+def sketch_and_compare(rows: DataFrame, keys: list[str], kinds: list[str], pairs: list[tuple[int, int]], prints: list[int], rough: list[tuple[int, int]], width: int = PART) -> DataFrame:
+    """Sketches of the text columns `kinds` of each row and the differences of the pairs of them; saturated shards of rough pairs aren't failures.
 
     rows must be dealt by one of the keys. Returns the keys, print_<kind> for the numbers in prints, and for each pair d_<a>_<b>, failed_<a>_<b>, n_<a>_<b>.
     """
@@ -117,7 +119,8 @@ def sketch_and_compare(rows: DataFrame, keys: list[str], kinds: list[str], pairs
     sent = sent.select(*own, F.col("_t.t").alias("t"), F.col("_t.s").alias("s"), F.col("d").bitwiseAND(F.col("_t.s") - 1).alias("shard"), "idx", F.col("_t.sign").alias("sign"), "d", "chk")
     summed = sent.groupBy(*own, "t", "s", "shard", "idx").agg(F.sum("sign").cast("int").alias("cnt"), F.bit_xor("d").alias("id"), F.bit_xor("chk").alias("chk"))
     real = F.col("idx").isNotNull() & ((F.col("cnt") != 0) | (F.col("id") != 0) | (F.col("chk") != 0))
-    shards = summed.groupBy(*own, "t", "s", "shard").agg(F.collect_list(F.when(real, F.struct("idx", "cnt", "id", "chk"))).alias("cells"))
+    # Cells that cancel out go here; a text without elements keeps its row.
+    shards = summed.where(real | F.col("idx").isNull()).groupBy(*own, "t", "s", "shard").agg(F.collect_list(F.when(real, F.struct("idx", "cnt", "id", "chk"))).alias("cells"))
     text = F.concat(F.lpad(F.hex("shard"), 4, "0"), F.array_join(F.transform(F.array_sort("cells"), lambda c: F.concat(F.lpad(F.hex(c["idx"]), 2, "0"), F.lpad(F.hex(c["cnt"].bitwiseAND(255)), 2, "0"), F.lpad(F.hex(c["id"].cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"), F.lpad(F.hex(c["chk"]), 4, "0"))), ""))
     shards = shards.withColumn("_print", F.when((F.col("t") < len(prints)) & (F.size("cells") > 0), F.struct("shard", text.alias("x"))))
     shards = shards.withColumn("_peel", F.when((F.col("t") >= len(prints)) & (F.size("cells") > 0), F.expr(_peeled("cells", width))))
@@ -126,9 +129,9 @@ def sketch_and_compare(rows: DataFrame, keys: list[str], kinds: list[str], pairs
     for t, (a, b) in enumerate(pairs, len(prints)):
         both = F.when(F.col("t") == t, (F.col(f"_n{a}") + F.col(f"_n{b}")) / F.col("s")).otherwise(both)
     stuck = F.size("_peel.c") > 0
-    saturated = empty < 3
-    guess = F.when(saturated, both).otherwise(F.least(both, F.log(F.greatest(empty, F.lit(1)) / F.lit(3.0 * width)) / F.log(F.lit(1 - 1 / width))))
-    shards = shards.select(*own, "t", "_print", F.when(stuck, guess).otherwise(F.coalesce(F.col("_peel.n").cast("double"), F.lit(0.0))).alias("_d"), F.coalesce(stuck & ~saturated, F.lit(False)).alias("_failed"))
+    guess = F.log(F.greatest(empty, F.lit(1)) / F.lit(3.0 * width)) / F.log(F.lit(1 - 1 / width))
+    saturated = F.col("t").isin([t for t, p in enumerate(pairs, len(prints)) if p in rough]) & ((empty < 3) | (guess >= both * SATURATED))
+    shards = shards.select(*own, "t", "_print", F.when(stuck, F.when(saturated, both).otherwise(F.least(both, guess))).otherwise(F.coalesce(F.col("_peel.n").cast("double"), F.lit(0.0))).alias("_d"), F.coalesce(stuck & ~saturated, F.lit(False)).alias("_failed"))
     done = shards.groupBy(*own).agg(
         *(F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("t") == t, F.col("_print")))), lambda x: x["x"]), "").alias(f"print_{k}") for t, k in enumerate(prints)),
         *(F.sum(F.when(F.col("t") == t, F.col("_d")).otherwise(0.0)).alias(f"d_{a}_{b}") for t, (a, b) in enumerate(pairs, len(prints))),
@@ -153,7 +156,7 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     ordered = _edited(with_next(documents))
     rows = ordered.select("bucket", "doc_id", "next_id", "n_chars", F.unhex(F.sha2("edited", 256)).alias("edited_sha256"), "text", "edited", "next_text")
     keys = ["bucket", "doc_id", "next_id", "n_chars", "edited_sha256"]
-    first = stage(sketch_and_compare(rows, keys, ["text", "edited", "next_text"], [(0, 1), (0, 2)], [0, 1]), "fingerprints")
+    first = stage(sketch_and_compare(rows, keys, ["text", "edited", "next_text"], [(0, 1), (0, 2)], [0, 1], [(0, 2)]), "fingerprints")
     docs = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     todo = first.where("failed_0_1 or failed_0_2").select("doc_id", "next_id")
     again, width = None, PART
@@ -166,12 +169,12 @@ def fingerprints(documents: DataFrame) -> DataFrame:
         held = keep_ids(docs, ids, "doc_id").dropDuplicates(["doc_id"])
         pairs = todo.join(held, "doc_id").join(held.select(F.col("doc_id").alias("next_id"), F.col("text").alias("next_text")), "next_id")
         redone = _edited(pairs).repartition(partitions(docs.sparkSession), "doc_id")
-        found = stage(sketch_and_compare(redone, ["doc_id", "next_id"], ["text", "edited", "next_text"], [(0, 1), (0, 2)], [], width), f"again{attempt}")
+        found = stage(sketch_and_compare(redone, ["doc_id", "next_id"], ["text", "edited", "next_text"], [(0, 1), (0, 2)], [], [(0, 2)], width), f"again{attempt}")
         better = found.where("not failed_0_1 and not failed_0_2") if attempt + 1 < RETRIES else found
         again = better if again is None else again.unionByName(better)
         todo = found.where("failed_0_1 or failed_0_2").select("doc_id", "next_id")
     near = first.select("doc_id", "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"), F.col("print_0").alias("fingerprint"), F.col("print_1").alias("edited_fingerprint"), _likeness("0_1").alias("near_edited"), _likeness("0_2").alias("near_next"))
     if again is not None:
         new = again.select("doc_id", _likeness("0_1").alias("_e"), _likeness("0_2").alias("_x"))
-        near = near.join(new, "doc_id", "left").withColumn("near_edited", F.coalesce("_e", "near_edited")).withColumn("near_next", F.coalesce("_x", "near_next")).drop("_e", "_x")
+        near = near.join(sized(new), "doc_id", "left").withColumn("near_edited", F.coalesce("_e", "near_edited")).withColumn("near_next", F.coalesce("_x", "near_next")).drop("_e", "_x")
     return near
