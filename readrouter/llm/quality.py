@@ -102,14 +102,15 @@ def fit_nnpu(p: np.ndarray, u: np.ndarray, prior: float | None, hidden: int = 12
 
 
 def estimate_prior(zp: np.ndarray, zu: np.ndarray) -> float:
-    """Least upper bound, over thresholds, of the share of unlabelled above it to the share of positives above it."""
-    best = 1.0
+    """Share of unlabelled to share of positives above the threshold at which the upper bound of that ratio is least."""
     slack = lambda n: np.sqrt(np.log(20) / (2 * n))
+    best, found = np.inf, 1.0
     for c in np.quantile(zp, np.linspace(0.02, 0.9, 60)):
         share_p, share_u = (zp >= c).mean(), (zu >= c).mean()
-        if share_p > 0.05:
-            best = min(best, (share_u + 0.5 * slack(len(zu))) / max(share_p - 0.5 * slack(len(zp)), 1e-6))
-    return float(np.clip(best, 0.02, 0.98))
+        bound = (share_u + slack(len(zu)) + slack(len(zp))) / max(share_p, 1e-6)
+        if share_p > 0.05 and bound < best:
+            best, found = bound, share_u / share_p
+    return float(np.clip(found, 0.02, 0.98))
 
 
 def fit(p: np.ndarray, u: np.ndarray) -> QualityModel:
