@@ -24,6 +24,8 @@ from .bpe import encoder, vocabulary_path
 from .common import map_arrow, partitions, stage
 
 CAPACITY = 2048
+#: Rows of a plan that may be broadcast (48 bytes each).
+BROADCAST_SLOTS = 500_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -112,13 +114,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
     if any(x > capacity or x < 1 for x in histogram):
         raise ValueError(f"a piece is not within 1 to {capacity} tokens")
-    table = spark.createDataFrame(places(plan(histogram, capacity)), "length bigint, _from bigint, _to bigint, _bin bigint, _each bigint, _offset bigint")
+    slots = places(plan(histogram, capacity))
+    table = spark.createDataFrame(slots, "length bigint, _from bigint, _to bigint, _bin bigint, _each bigint, _offset bigint")
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     own = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece")
     ranked = dealt.withColumn("_at", F.row_number().over(own) - 1).join(bases, ["length", "_bucket"]).withColumn("_rank", F.col("_base") + F.col("_at"))
-    # The plan has a few rows for each length at most, whatever the number of pieces.
-    placed = ranked.join(F.broadcast(table), (ranked["length"] == table["length"]) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))).drop(table["length"])
+    # Each combination uses up a length but for fewer pieces than it takes of it, so their number is bounded by capacity and its logarithm.
+    placed = ranked.join(F.broadcast(table) if len(slots) <= BROADCAST_SLOTS else table, (ranked["length"] == table["length"]) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))).drop(table["length"])
     nth = F.col("_rank") - F.col("_from")
     return placed.select(
         *columns,

@@ -153,7 +153,7 @@ def test_components(spark):
 
 
 def elements(text):
-    return collections.Counter(re.findall(r"[^ \t\n\x0b\f\r]+(?:[ \t\x0b\f\r]+[^ \t\n\x0b\f\r]+){0,11}", text))
+    return collections.Counter(re.findall(r"[^ \t\n\x0b\f\r]+(?:[ \t\x0b\f\r]+[^ \t\n\x0b\f\r]+){0,15}", text))
 
 
 def likeness(a, b):
