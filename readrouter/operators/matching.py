@@ -6,6 +6,8 @@ string is decided on that small side, and reads, which are never shuffled, look
 
 from __future__ import annotations
 
+from math import comb
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,16 +39,16 @@ def with_barcode(samples: DataFrame, flip: bool) -> DataFrame:
 
 
 def neighbourhood(barcodes: DataFrame, length: int, radius: int = 1) -> DataFrame:
-    """key, barcode, distance of all strings within radius 0 or 1 of a barcode."""
-    own = barcodes.select("*", F.col("barcode").alias("key"), F.lit(0).alias("distance"))
-    if radius == 0:
-        return own
-    if radius != 1:
-        raise ValueError("neighbourhoods have radius 0 or 1")
-    at, symbol = F.explode(F.sequence(F.lit(1), F.lit(length))).alias("_at"), F.explode(F.array(*map(F.lit, ALPHABET))).alias("_symbol")
-    near = barcodes.select("*", at).select("*", symbol).where(F.substring("barcode", F.col("_at"), F.lit(1)) != F.col("_symbol"))
-    near = near.withColumn("key", F.concat(F.substring(F.col("barcode"), F.lit(1), F.col("_at") - 1), "_symbol", F.substring(F.col("barcode"), F.col("_at") + 1, F.lit(length))))
-    return own.unionByName(near.drop("_at", "_symbol").withColumn("distance", F.lit(1)))
+    """key, barcode, distance of all strings within the radius of a barcode, each once: substitutions come at rising positions."""
+    out = barcodes.select("*", F.col("barcode").alias("key"), F.lit(0).alias("distance"))
+    ring = out.withColumn("_at", F.lit(0))
+    for distance in range(1, radius + 1):
+        ring = ring.where(F.col("_at") < length).withColumn("_at", F.explode(F.sequence(F.col("_at") + 1, F.lit(length))))
+        ring = ring.withColumn("_symbol", F.explode(F.array(*map(F.lit, ALPHABET)))).where(F.substring("key", F.col("_at"), F.lit(1)) != F.col("_symbol"))
+        key = F.concat(F.substring(F.col("key"), F.lit(1), F.col("_at") - 1), "_symbol", F.substring(F.col("key"), F.col("_at") + 1, F.lit(length)))
+        ring = ring.withColumn("key", key).withColumn("distance", F.lit(distance)).drop("_symbol")
+        out = out.unionByName(ring.drop("_at"))
+    return out
 
 
 def nearest(barcodes: DataFrame, length: int, radius: int = 1, min_gap: int = 0) -> DataFrame:
@@ -68,10 +70,11 @@ def _small(side: DataFrame, entries: int) -> DataFrame:
 
 def match_reads(reads: DataFrame, barcodes: DataFrame, length: int, max_mismatches: int = 1, min_gap: int = 0) -> DataFrame:
     """reads (with a column key) and the match of each; null where none is near enough. barcodes: of barcode_map."""
-    if max_mismatches <= 1:
+    entries = barcodes.count() * sum(comb(length, i) * (len(ALPHABET) - 1) ** i for i in range(max_mismatches + 1))
+    if max_mismatches <= 1 or entries <= BROADCAST_ENTRIES:
         side = nearest(barcodes, length, max_mismatches, min_gap)
-        return reads.join(_small(side, barcodes.count() * (4 * length + 1)), "key", "left")
-    # Distinct keys are compared with the sheet: its barcodes travel as one array, so no pair of a key and a barcode becomes a row.
+        return reads.join(_small(side, entries), "key", "left")
+    # Beyond that, distinct keys are compared with the sheet: its barcodes travel as one array, so no pair of a key and a barcode becomes a row.
     keys = reads.select("key").distinct()
     sheet = barcodes.agg(F.sort_array(F.collect_list(F.struct("ord", "barcode", "sample_id", "lane"))).alias("_sheet"))
     entries = sheet.first()["_sheet"]
