@@ -6,8 +6,8 @@ about SHARD_ELEMENTS meet in one, and within a shard to one cell of each of thre
 elements, the exclusive or of their digests and of check values. The cells of two texts subtract, after folding the larger sketch
 to the smaller's number of shards, as elements keep their cell in any fold. In the difference, a cell of one element gives its digest,
 which is removed from its other cells, and so on (peeling), until all differing digests are known. Where peeling stops
-short, the sketch is made again with four times the cells, up to RETRIES times; only saturated shards, in which hardly any cell is
-empty, are not worth that: they count as all different.
+short, the pair is sketched again with shards for the elements of both texts, four times the cells and other hashes, and so on until
+all of its shards peel; nothing is estimated.
 
 Likeness is the share of elements in common: (n - d) / (n + d), with n the elements of both texts and d those that differ.
 
@@ -23,14 +23,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep_ids, partitions, sized, stage
+from .common import partitions, sized, stage
 
 UNIT_WORDS, SHARD_ELEMENTS = 16, 16
 #: Cells in each of the three parts of a shard.
 PART = 11
-RETRIES, ROUNDS = 2, 8
-#: A shard with next to no empty cell, or whose empty cells tell of this share of differing elements, counts as all different.
-SATURATED = 0.7
+#: Each retry leaves a small share of its pairs, so that the last is never reached; a pair that it leaves is an error.
+RETRIES, ROUNDS = 12, 8
 #: Ranges of ids for each shuffle partition.
 RANGES = 4
 
@@ -85,22 +84,24 @@ def _check(digest: str) -> str:
     return f"(hash({digest}, 77) & 65535)"
 
 
-def _cell(digest: str, part: str, width: int) -> str:
+def _cell(digest: str, part: str, width: int, salt: int) -> str:
+    if salt:
+        return f"({part} * {width} + pmod(hash({digest}, {salt}, cast({part} as int)), {width}))"
     return f"({part} * {width} + pmod(shiftrightunsigned(hash({digest}, 5), 9 * ({part})), {width}))"
 
 
-def _peeled(cells: str, width: int) -> str:
+def _peeled(cells: str, width: int, salt: int) -> str:
     """struct<c: cells left, n: digests found> of the cells of a difference."""
-    pure = f"""array_distinct(transform(filter(s.c, x -> abs(x.cnt) = 1 and x.chk = {_check('x.id')} and {_cell('x.id', f'(x.idx div {width})', width)} = x.idx), x -> named_struct('id', x.id, 'cnt', x.cnt)))"""
-    less = f"""aggregate(filter(p, q -> {_cell('q.id', f'(x.idx div {width})', width)} = x.idx), x, (a, q) -> named_struct('idx', a.idx, 'cnt', a.cnt - q.cnt, 'id', a.id ^ q.id, 'chk', a.chk ^ {_check('q.id')}))"""
+    pure = f"""array_distinct(transform(filter(s.c, x -> abs(x.cnt) = 1 and x.chk = {_check('x.id')} and {_cell('x.id', f'(x.idx div {width})', width, salt)} = x.idx), x -> named_struct('id', x.id, 'cnt', x.cnt)))"""
+    less = f"""aggregate(filter(p, q -> {_cell('q.id', f'(x.idx div {width})', width, salt)} = x.idx), x, (a, q) -> named_struct('idx', a.idx, 'cnt', a.cnt - q.cnt, 'id', a.id ^ q.id, 'chk', a.chk ^ {_check('q.id')}))"""
     step = f"""transform(array({pure}), p -> if(size(p) = 0, s, named_struct('c', filter(transform(s.c, x -> {less}), x -> x.cnt <> 0 or x.id <> 0 or x.chk <> 0), 'n', s.n + size(p))))[0]"""
     return f"aggregate(sequence(1, {ROUNDS}), named_struct('c', {cells}, 'n', 0), (s, r) -> {step})"
 
 
-def sketch_and_compare(rows: DataFrame, keys: list[str], kinds: list[str], pairs: list[tuple[int, int]], prints: list[int], rough: list[tuple[int, int]], width: int = PART) -> DataFrame:
-    """Sketches of the text columns `kinds` of each row and the differences of the pairs of them; saturated shards of rough pairs aren't failures.
+def sketch_and_compare(rows: DataFrame, keys: list[str], kinds: list[str], pairs: list[tuple[int, int]], prints: list[int], width: int, salt: int = 0) -> DataFrame:
+    """Sketches of the text columns `kinds` of each row and the differences of the pairs of them; with a salt, of a retry.
 
-    rows must be dealt by one of the keys. Returns the keys, print_<kind> for the numbers in prints, and for each pair d_<a>_<b>, failed_<a>_<b>, n_<a>_<b>.
+    A retry takes wider digests, hashed with the salt, and shards by the elements of both texts. rows must be dealt by one of the keys. Returns the keys, print_<kind> for the numbers in prints, and for each pair d_<a>_<b>, failed_<a>_<b>, n_<a>_<b>.
     """
     counted = rows.select(*keys, *(_units(F.col(c)).alias(f"_u{i}") for i, c in enumerate(kinds)))
     counted = counted.select("*", *(F.size(f"_u{i}").alias(f"_n{i}") for i in range(len(kinds))))
@@ -108,30 +109,23 @@ def sketch_and_compare(rows: DataFrame, keys: list[str], kinds: list[str], pairs
     units = counted.select(*own, F.explode(F.array(*(F.struct(F.lit(i).alias("kind"), F.col(f"_u{i}").alias("u")) for i in range(len(kinds))))).alias("_k"))
     units = units.select(*own, F.col("_k.kind").alias("kind"), F.explode_outer("_k.u").alias("_unit")).select(*own, "kind", F.when(F.col("_unit").isNotNull(), F.xxhash64("_unit")).alias("_h"))
     numbered = units.groupBy(*own, "kind", "_h").agg(F.count("*").cast("int").alias("_c")).withColumn("_o", F.explode(F.sequence(F.lit(1), F.col("_c"))))
-    elements = numbered.select(*own, "kind", F.when(F.col("_h").isNotNull(), F.hash("_h", "_o")).alias("d"))
+    elements = numbered.select(*own, "kind", F.when(F.col("_h").isNotNull(), F.xxhash64("_h", "_o", F.lit(salt)) if salt else F.hash("_h", "_o")).alias("d"))
     cells = elements.select(*own, "kind", "d", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("_part"))
-    cells = cells.select(*own, "kind", "d", F.expr(_cell("d", "_part", width)).alias("idx"), F.expr(_check("d")).alias("chk"))
+    cells = cells.select(*own, "kind", "d", F.expr(_cell("d", "_part", width, salt)).alias("idx"), F.expr(_check("d")).alias("chk"))
     size = [_shards(F.col(f"_n{i}")) for i in range(len(kinds))]
     targets = [F.when(F.col("kind") == k, F.struct(F.lit(t).alias("t"), F.lit(1).alias("sign"), size[k].alias("s"))) for t, k in enumerate(prints)]
     for t, (a, b) in enumerate(pairs, len(prints)):
-        targets.append(F.when(F.col("kind").isin(a, b), F.struct(F.lit(t).alias("t"), F.when(F.col("kind") == a, 1).otherwise(-1).alias("sign"), F.least(size[a], size[b]).alias("s"))))
+        targets.append(F.when(F.col("kind").isin(a, b), F.struct(F.lit(t).alias("t"), F.when(F.col("kind") == a, 1).otherwise(-1).alias("sign"), (_shards(F.col(f"_n{a}") + F.col(f"_n{b}")) if salt else F.least(size[a], size[b])).alias("s"))))
     sent = cells.select(*own, "d", "idx", "chk", F.explode(F.array_compact(F.array(*targets))).alias("_t"))
-    sent = sent.select(*own, F.col("_t.t").alias("t"), F.col("_t.s").alias("s"), F.col("d").bitwiseAND(F.col("_t.s") - 1).alias("shard"), "idx", F.col("_t.sign").alias("sign"), "d", "chk")
+    sent = sent.select(*own, F.col("_t.t").alias("t"), F.col("_t.s").alias("s"), F.col("d").bitwiseAND(F.col("_t.s") - 1).cast("int").alias("shard"), "idx", F.col("_t.sign").alias("sign"), "d", "chk")
     summed = sent.groupBy(*own, "t", "s", "shard", "idx").agg(F.sum("sign").cast("int").alias("cnt"), F.bit_xor("d").alias("id"), F.bit_xor("chk").alias("chk"))
     real = F.col("idx").isNotNull() & ((F.col("cnt") != 0) | (F.col("id") != 0) | (F.col("chk") != 0))
     # Cells that cancel out go here; a text without elements keeps its row.
     shards = summed.where(real | F.col("idx").isNull()).groupBy(*own, "t", "s", "shard").agg(F.collect_list(F.when(real, F.struct("idx", "cnt", "id", "chk"))).alias("cells"))
     text = F.concat(F.lpad(F.hex("shard"), 4, "0"), F.array_join(F.transform(F.array_sort("cells"), lambda c: F.concat(F.lpad(F.hex(c["idx"]), 2, "0"), F.lpad(F.hex(c["cnt"].bitwiseAND(255)), 2, "0"), F.lpad(F.hex(c["id"].cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"), F.lpad(F.hex(c["chk"]), 4, "0"))), ""))
     shards = shards.withColumn("_print", F.when((F.col("t") < len(prints)) & (F.size("cells") > 0), F.struct("shard", text.alias("x"))))
-    shards = shards.withColumn("_peel", F.when((F.col("t") >= len(prints)) & (F.size("cells") > 0), F.expr(_peeled("cells", width))))
-    empty = F.lit(3 * width) - F.size("cells")
-    both = F.lit(0.0)
-    for t, (a, b) in enumerate(pairs, len(prints)):
-        both = F.when(F.col("t") == t, (F.col(f"_n{a}") + F.col(f"_n{b}")) / F.col("s")).otherwise(both)
-    stuck = F.size("_peel.c") > 0
-    guess = F.log(F.greatest(empty, F.lit(1)) / F.lit(3.0 * width)) / F.log(F.lit(1 - 1 / width))
-    saturated = F.col("t").isin([t for t, p in enumerate(pairs, len(prints)) if p in rough]) & ((empty < 3) | (guess >= both * SATURATED))
-    shards = shards.select(*own, "t", "_print", F.when(stuck, F.when(saturated, both).otherwise(F.least(both, guess))).otherwise(F.coalesce(F.col("_peel.n").cast("double"), F.lit(0.0))).alias("_d"), F.coalesce(stuck & ~saturated, F.lit(False)).alias("_failed"))
+    shards = shards.withColumn("_peel", F.when((F.col("t") >= len(prints)) & (F.size("cells") > 0), F.expr(_peeled("cells", width, salt))))
+    shards = shards.select(*own, "t", "_print", F.coalesce(F.col("_peel.n"), F.lit(0)).cast("double").alias("_d"), F.coalesce(F.size("_peel.c") > 0, F.lit(False)).alias("_failed"))
     done = shards.groupBy(*own).agg(
         *(F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("t") == t, F.col("_print")))), lambda x: x["x"]), "").alias(f"print_{k}") for t, k in enumerate(prints)),
         *(F.sum(F.when(F.col("t") == t, F.col("_d")).otherwise(0.0)).alias(f"d_{a}_{b}") for t, (a, b) in enumerate(pairs, len(prints))),
@@ -156,25 +150,24 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     ordered = _edited(with_next(documents))
     rows = ordered.select("bucket", "doc_id", "next_id", "n_chars", F.unhex(F.sha2("edited", 256)).alias("edited_sha256"), "text", "edited", "next_text")
     keys = ["bucket", "doc_id", "next_id", "n_chars", "edited_sha256"]
-    first = stage(sketch_and_compare(rows, keys, ["text", "edited", "next_text"], [(0, 1), (0, 2)], [0, 1], [(0, 2)]), "fingerprints")
-    docs = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    todo = first.where("failed_0_1 or failed_0_2").select("doc_id", "next_id")
+    first = stage(sketch_and_compare(rows, keys, ["text", "edited", "next_text"], [(0, 1), (0, 2)], [0, 1], PART), "fingerprints")
+    todo = first.where("failed_0_1 or failed_0_2").select("doc_id", F.array_compact(F.array(F.when(F.col("failed_0_1"), 1), F.when(F.col("failed_0_2"), 2))).alias("_pairs"))
     again, width = None, PART
     for attempt in range(RETRIES):
-        width *= 4
-        todo = stage(todo, f"todo{attempt}")
         if not todo.head(1):
             break
-        ids = stage(todo.select("doc_id").unionByName(todo.select(F.col("next_id").alias("doc_id"))).distinct(), f"ids{attempt}")
-        held = keep_ids(docs, ids, "doc_id").dropDuplicates(["doc_id"])
-        pairs = todo.join(held, "doc_id").join(held.select(F.col("doc_id").alias("next_id"), F.col("text").alias("next_text")), "next_id")
-        redone = _edited(pairs).repartition(partitions(docs.sparkSession), "doc_id")
-        found = stage(sketch_and_compare(redone, ["doc_id", "next_id"], ["text", "edited", "next_text"], [(0, 1), (0, 2)], [], [(0, 2)], width), f"again{attempt}")
-        better = found.where("not failed_0_1 and not failed_0_2") if attempt + 1 < RETRIES else found
+        width *= 4
+        pairs = rows.select("bucket", "doc_id", "text", "edited", "next_text").join(sized(todo), "doc_id").withColumn("pair", F.explode("_pairs"))
+        pairs = pairs.select("bucket", "doc_id", "pair", "text", F.when(F.col("pair") == 1, F.col("edited")).otherwise(F.col("next_text")).alias("other"))
+        found = stage(sketch_and_compare(pairs, ["bucket", "doc_id", "pair"], ["text", "other"], [(0, 1)], [], width, attempt + 1), f"again{attempt}")
+        better = found.where("not failed_0_1")
         again = better if again is None else again.unionByName(better)
-        todo = found.where("failed_0_1 or failed_0_2").select("doc_id", "next_id")
+        todo = found.where("failed_0_1").groupBy("doc_id").agg(F.collect_list("pair").alias("_pairs"))
+    else:
+        if todo.head(1):
+            raise RuntimeError(f"{todo.count()} texts have pairs that did not peel in {RETRIES} retries")
     near = first.select("doc_id", "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"), F.col("print_0").alias("fingerprint"), F.col("print_1").alias("edited_fingerprint"), _likeness("0_1").alias("near_edited"), _likeness("0_2").alias("near_next"))
     if again is not None:
-        new = again.select("doc_id", _likeness("0_1").alias("_e"), _likeness("0_2").alias("_x"))
+        new = again.groupBy("doc_id").agg(F.max(F.when(F.col("pair") == 1, _likeness("0_1"))).alias("_e"), F.max(F.when(F.col("pair") == 2, _likeness("0_1"))).alias("_x"))
         near = near.join(sized(new), "doc_id", "left").withColumn("near_edited", F.coalesce("_e", "near_edited")).withColumn("near_next", F.coalesce("_x", "near_next")).drop("_e", "_x")
     return near

@@ -186,3 +186,19 @@ def test_fingerprints(spark, monkeypatch, part):
     plan = fingerprints.with_next(documents(spark, ["a", "b"]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert F is not None
+
+
+@pytest.mark.parametrize("part", [fingerprints.PART, 5])
+def test_every_pair_of_fingerprints_peels(spark, monkeypatch, part):
+    """Dissimilar texts, one that the next holds whole, and one with a large part of the next."""
+    monkeypatch.setattr(fingerprints, "PART", part)
+    rng = random.Random(11)
+    lines = ["\n".join(" ".join(rng.choice(WORDS) for _ in range(8)) for _ in range(k)) for k in (60, 700, 90, 90, 300, 2, 400)]
+    texts = [lines[0], f"{lines[0]}\n{lines[1]}", lines[2], f"{lines[2][: len(lines[2]) // 5]}\n{lines[3]}", lines[4], lines[5], lines[6], *corpus(3)]
+    rows = {r["doc_id"]: r for r in fingerprints.fingerprints(documents(spark, texts)).collect()}
+    plain = [t or "" for t in texts]
+    for i, t in enumerate(plain):
+        other = plain[(i + 1) % len(plain)]
+        edited = t[: len(t) - len(t) // 4] + other[: len(t) // 4]
+        assert abs(rows[i * 3]["near_edited"] - likeness(t, edited)) < 1e-9
+        assert abs(rows[i * 3]["near_next"] - likeness(t, other)) < 1e-9
