@@ -1,6 +1,6 @@
 """Document fingerprints as invertible Bloom lookup sketches, with DataFrame and SQL functions only.
 
-A paragraph (line) is cut into runs of at most UNIT_WORDS words; the digest of a run and its number among equal runs of the
+A paragraph (line) is cut into runs of at most `unit_words` words (UNIT_WORDS, and 12 in the op7 query); the digest of a run and its number among equal runs of the
 text is an element. Elements are dealt to shards by their low bits, a power of two of them for a text of n elements so that
 about SHARD_ELEMENTS meet in one, and within a shard to one cell of each of three parts. A cell holds the number of its
 elements, the exclusive or of their digests and of check values. The cells of two texts subtract, after folding the larger sketch
@@ -72,8 +72,8 @@ def with_next(documents: DataFrame) -> DataFrame:
     return rows.where("_copy = 0").select("bucket", "doc_id", "text", "next_id", "next_text")
 
 
-def _units(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(rf"\S+(?:[^\S\n]+\S+){{0,{UNIT_WORDS - 1}}}"), F.lit(0))
+def _units(text: Column, unit_words: int) -> Column:
+    return F.regexp_extract_all(text, F.lit(rf"\S+(?:[^\S\n]+\S+){{0,{unit_words - 1}}}"), F.lit(0))
 
 
 def _shards(n: Column) -> Column:
@@ -98,12 +98,12 @@ def _peeled(cells: str, width: int, salt: int) -> str:
     return f"aggregate(sequence(1, {ROUNDS}), named_struct('c', {cells}, 'n', 0), (s, r) -> {step})"
 
 
-def sketch_and_compare(rows: DataFrame, keys: list[str], kinds: list[str], pairs: list[tuple[int, int]], prints: list[int], width: int, salt: int = 0) -> DataFrame:
+def sketch_and_compare(rows: DataFrame, keys: list[str], kinds: list[str], pairs: list[tuple[int, int]], prints: list[int], width: int, unit_words: int, salt: int = 0) -> DataFrame:
     """Sketches of the text columns `kinds` of each row and the differences of the pairs of them; with a salt, of a retry.
 
     A retry takes wider digests, hashed with the salt, and shards by the elements of both texts. rows must be dealt by one of the keys. Returns the keys, print_<kind> for the numbers in prints, and for each pair d_<a>_<b>, failed_<a>_<b>, n_<a>_<b>.
     """
-    counted = rows.select(*keys, *(_units(F.col(c)).alias(f"_u{i}") for i, c in enumerate(kinds)))
+    counted = rows.select(*keys, *(_units(F.col(c), unit_words).alias(f"_u{i}") for i, c in enumerate(kinds)))
     counted = counted.select("*", *(F.size(f"_u{i}").alias(f"_n{i}") for i in range(len(kinds))))
     own = [*keys, *(f"_n{i}" for i in range(len(kinds)))]
     units = counted.select(*own, F.explode(F.array(*(F.struct(F.lit(i).alias("kind"), F.col(f"_u{i}").alias("u")) for i in range(len(kinds))))).alias("_k"))
@@ -145,12 +145,12 @@ def _likeness(pair: str) -> Column:
     return F.when(n == 0, 1.0).otherwise((n - d) / (n + d))
 
 
-def fingerprints(documents: DataFrame) -> DataFrame:
+def fingerprints(documents: DataFrame, unit_words: int = UNIT_WORDS) -> DataFrame:
     """The op7 contract: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     ordered = _edited(with_next(documents))
     rows = ordered.select("bucket", "doc_id", "next_id", "n_chars", F.unhex(F.sha2("edited", 256)).alias("edited_sha256"), "text", "edited", "next_text")
     keys = ["bucket", "doc_id", "next_id", "n_chars", "edited_sha256"]
-    first = stage(sketch_and_compare(rows, keys, ["text", "edited", "next_text"], [(0, 1), (0, 2)], [0, 1], PART), "fingerprints")
+    first = stage(sketch_and_compare(rows, keys, ["text", "edited", "next_text"], [(0, 1), (0, 2)], [0, 1], PART, unit_words), "fingerprints")
     todo = first.where("failed_0_1 or failed_0_2").select("doc_id", F.array_compact(F.array(F.when(F.col("failed_0_1"), 1), F.when(F.col("failed_0_2"), 2))).alias("_pairs"))
     again, width = None, PART
     for attempt in range(RETRIES):
@@ -159,7 +159,7 @@ def fingerprints(documents: DataFrame) -> DataFrame:
         width *= 4
         pairs = rows.select("bucket", "doc_id", "text", "edited", "next_text").join(sized(todo), "doc_id").withColumn("pair", F.explode("_pairs"))
         pairs = pairs.select("bucket", "doc_id", "pair", "text", F.when(F.col("pair") == 1, F.col("edited")).otherwise(F.col("next_text")).alias("other"))
-        found = stage(sketch_and_compare(pairs, ["bucket", "doc_id", "pair"], ["text", "other"], [(0, 1)], [], width, attempt + 1), f"again{attempt}")
+        found = stage(sketch_and_compare(pairs, ["bucket", "doc_id", "pair"], ["text", "other"], [(0, 1)], [], width, unit_words, attempt + 1), f"again{attempt}")
         better = found.where("not failed_0_1")
         again = better if again is None else again.unionByName(better)
         todo = found.where("failed_0_1").groupBy("doc_id").agg(F.collect_list("pair").alias("_pairs"))

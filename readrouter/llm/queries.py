@@ -45,7 +45,7 @@ def op6_line_dedup(spark, sf_dir):
 def op7_fingerprints(spark, sf_dir):
     from .fingerprints import fingerprints
 
-    return fingerprints(table(spark, sf_dir, "documents"))
+    return fingerprints(table(spark, sf_dir, "documents"), unit_words=12)
 
 
 def op8_best_fit(spark, sf_dir):

@@ -202,3 +202,23 @@ def test_every_pair_of_fingerprints_peels(spark, monkeypatch, part):
         edited = t[: len(t) - len(t) // 4] + other[: len(t) // 4]
         assert abs(rows[i * 3]["near_edited"] - likeness(t, edited)) < 1e-9
         assert abs(rows[i * 3]["near_next"] - likeness(t, other)) < 1e-9
+
+
+def test_fingerprint_query_takes_runs_of_12_words(spark, tmp_path):
+    from readrouter.llm.queries import op7_fingerprints
+
+    rng = random.Random(5)
+    text = [rng.choice(WORDS) for _ in range(600)]
+    near = [rng.choice(WORDS) if i % 13 == 0 else w for i, w in enumerate(text)]
+    texts = [" ".join(text), " ".join(near), " ".join(text[:300])]
+    documents(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r["doc_id"]: r for r in op7_fingerprints(spark, str(tmp_path)).collect()}
+
+    def runs(t):
+        w = t.split()
+        return collections.Counter(" ".join(w[i : i + 12]) for i in range(0, len(w), 12))
+
+    for i, t in enumerate(texts):
+        other = texts[(i + 1) % 3]
+        a, b = runs(t), runs(other)
+        assert abs(rows[i * 3]["near_next"] - sum((a & b).values()) / sum((a | b).values())) < 1e-9
