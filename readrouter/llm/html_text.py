@@ -4,7 +4,8 @@ Every block element gets a density: characters per tag, adjusted by the share of
 density sum adds those of its block children and of its own runs of text. The subtree with the largest sum is the
 article's core; the least density on its path to the body is the threshold above which further subtrees are taken too.
 An enclosing article or main element of the core is taken whole. Elements that are never part of an article
-(navigation, footers, forms, scripts, ...) go first, by tag, role or class.
+(navigation, footers, forms, scripts, ...) go first, by tag or role. Elements with only such words in a class or id
+go unless they are headings or hold the densest subtree.
 
 Defined results: null or empty html gives an empty text; html without any tag is one block of text; an unclosed element ends with
 its parent; an unclosed comment, script or tag runs to the end of the page.
@@ -29,22 +30,23 @@ SPACE = re.compile(r"\s+")
 # HTML element names by their role, from the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img math mfrac mi mn mo mover mroot mrow ms msqrt mstyle msub msubsup msup mtext munder munderover semantics".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 SAME_CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("thead", "tbody", "tr", "td", "th")}
 HOLDS = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "thead": ("table",), "tbody": ("table",), "tfoot": ("table",), "option": ("select",)}
-NEVER = frozenset("nav footer aside form script style noscript template button select textarea iframe object embed svg canvas audio video dialog menu head title noembed noframes map math input datalist".split())
+NEVER = frozenset("nav footer aside form script style noscript template button select textarea iframe object embed svg canvas audio video dialog menu head title noembed noframes map input datalist".split())
 NEVER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist".split())
-#: Words of a class or id that mark an element as apart from the article.
+#: Classes and ids that mark an element as apart from the article unless it holds the densest subtree.
 NEVER_WORDS = frozenset("ad ads advert adverts advertisement advertising adbox sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup login sidebar side rail widget menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer foot header masthead topbar toolbar comment comments disqus discussion replies reply respond related recommended recommendations share sharing social tags toc search skip paywall".split())
 WORDS_OF = re.compile(r"[A-Za-z]+")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "chars", "link_chars", "tags", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "dropped", "marked", "chars", "link_chars", "tags", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: "Node | None", dropped: bool = False):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: "Node | None", dropped: bool = False, marked: bool = False):
+        self.tag, self.parent, self.dropped, self.marked = tag, parent, dropped, marked
         self.children: list = []  # nodes, and strings for runs of text
 
 
@@ -65,9 +67,18 @@ def _apart(tag: str, attributes: str, parent: Node) -> bool:
             return True
         if name == "role" and value.strip().lower() in NEVER_ROLES:
             return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
-            for word in WORDS_OF.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value)):
-                if word.lower() in NEVER_WORDS:
+    return False
+
+
+def _marked(tag: str, attributes: str) -> bool:
+    """Whether a whole class or id is of NEVER_WORDS alone, as cookie-banner and not as has-sidebar."""
+    if not attributes or tag in HEADINGS or tag in ("html", "body", "article", "main"):
+        return False
+    for name, *values in ATTRIBUTE.findall(attributes):
+        if name.lower() in ("class", "id"):
+            for token in "".join(values).split():
+                words = WORDS_OF.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", token))
+                if words and all(w.lower() in NEVER_WORDS for w in words):
                     return True
     return False
 
@@ -114,7 +125,7 @@ def parse(page: str) -> Node:
                 node = node.parent
             if last is not None:
                 here = last.parent
-        node = Node(tag, here, _apart(tag, found["attributes"], here))
+        node = Node(tag, here, _apart(tag, found["attributes"], here), _marked(tag, found["attributes"]))
         here.children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
@@ -199,6 +210,19 @@ def _holds_block(node: Node) -> bool:
     return False
 
 
+def _drop_marked(order: list[Node], body: Node) -> bool:
+    """Drop the marked elements that don't hold the densest subtree of the others; whether there were any."""
+    node = max((n for n in order if not n.marked), key=lambda n: n.total)
+    above = {id(node)}
+    while node is not body and node.parent is not None:
+        node = node.parent
+        above.add(id(node))
+    found = [n for n in order if n.marked and id(n) not in above]
+    for n in found:
+        n.dropped = True
+    return bool(found)
+
+
 def select(root: Node) -> list[Node]:
     """The subtrees that hold the article, in page order."""
     order = _nodes(root)
@@ -207,6 +231,9 @@ def select(root: Node) -> list[Node]:
         body = root  # content outside the body element
     order = _nodes(body)
     _measure(order, body)
+    if any(n.marked for n in order) and _drop_marked(order, body):
+        order = _nodes(body)
+        _measure(order, body)
     if not body.chars:
         return []
     first = {id(n): i for i, n in enumerate(order)}

@@ -234,3 +234,17 @@ def test_prior():
     good, bad = rng.normal(2, 1, 4000), rng.normal(-2, 1, 4000)
     unlabelled = np.concatenate([good[:1200], bad[:2800]])
     assert abs(quality.estimate_prior(good[2000:], unlabelled) - 0.3) < 0.06
+
+
+LONG = "A sentence of the article that goes on for a good while, with words enough to be dense. " * 6
+
+
+@pytest.mark.parametrize("body, held", [
+    (f'<div class="content has-sidebar"><article><p>{LONG}</p></article></div>', LONG.strip()),
+    (f'<div class="sidebar"><div><p>{LONG}</p><p>{LONG}</p></div></div>', LONG.strip()),
+    (f'<article><p>{LONG}</p><h2 id="side-effects">Side effects</h2><h2 class="related">Related work</h2><p>{LONG}</p></article>', "Side effects\nRelated work"),
+    (f'<article><p>{LONG}</p><section id="search-methods"><p>We searched.</p></section></article>', "We searched."),
+    (f'<article><p>{LONG} <math><mi>x</mi></math> end</p></article>', "x end"),
+])
+def test_html_keeps_what_only_sounds_apart(body, held):
+    assert held in html_text.main_text(f"<html><body>{body}</body></html>")
