@@ -16,6 +16,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,22 +44,68 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "marked", "chars", "link_chars", "tags", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "dropped", "marked", "depth", "block", "holds_block", "chars", "link_chars", "tags", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: "Node | None", dropped: bool = False, marked: bool = False):
         self.tag, self.parent, self.dropped, self.marked = tag, parent, dropped, marked
+        self.depth = parent.depth + 1 if parent is not None else 0
+        #: The nearest element that isn't inline, itself included.
+        self.block = parent.block if parent is not None and tag in INLINE else self
         self.children: list = []  # nodes, and strings for runs of text
 
 
-def _apart(tag: str, attributes: str, parent: Node) -> bool:
+class Open:
+    """The open elements, by tag and from the outermost, so that no end tag has to climb past what it closes."""
+
+    def __init__(self, root: Node):
+        self.here, self.by_tag = root, {}
+
+    def nearest(self, tag: str) -> Node | None:
+        own = self.by_tag.get(tag)
+        return own[-1] if own else None
+
+    def enter(self, node: Node) -> None:
+        self.by_tag.setdefault(node.tag, []).append(node)
+        self.here = node
+
+    def close(self, node: Node) -> None:
+        """Close the node and all that is open in it."""
+        while True:
+            here = self.here
+            self.by_tag[here.tag].pop()
+            self.here = here.parent
+            if here is node:
+                return
+
+    def end(self, tag: str) -> bool:
+        """Whether there was an element for this end tag; an inline end tag doesn't close blocks."""
+        node = self.nearest(tag)
+        if node is None or tag in INLINE and node.depth < self.here.block.depth:
+            return False
+        self.close(node)
+        return True
+
+    def before(self, tag: str) -> None:
+        """Close what the start of this element ends."""
+        if tag in ENDS_P and self.here.block.tag == "p":
+            self.close(self.here.block)
+        for_it = SAME_CLOSES.get(tag)
+        if for_it:
+            floor = max((n.depth for n in map(self.nearest, HOLDS[tag]) if n is not None), default=0)
+            found = []
+            for c in for_it:
+                own = self.by_tag.get(c, ())
+                at = bisect_right(own, floor, key=lambda n: n.depth)
+                found += own[at : at + 1]
+            if found:
+                self.close(min(found, key=lambda n: n.depth))
+
+
+def _apart(tag: str, attributes: str, opened: Open) -> bool:
     if tag in NEVER:
         return True
     if tag == "header":  # an article's own header holds its title
-        while parent is not None:
-            if parent.tag in ("article", "main"):
-                return False
-            parent = parent.parent
-        return True
+        return not (opened.nearest("article") or opened.nearest("main"))
     if not attributes:
         return False
     for name, *values in ATTRIBUTE.findall(attributes):
@@ -86,12 +133,12 @@ def _marked(tag: str, attributes: str) -> bool:
 def parse(page: str) -> Node:
     """The page's tree. Character references are decoded; comments, markup and raw-text elements leave no text."""
     root = Node("#root", None)
-    here, at, size = root, 0, len(page)
+    opened, at, size = Open(root), 0, len(page)
     while at < size:
         found = TOKEN.search(page, at)
         start = found.start() if found else size
         if start > at:
-            here.children.append(entities.unescape(page[at:start]))
+            opened.here.children.append(entities.unescape(page[at:start]))
         if not found:
             break
         at = found.end()
@@ -99,41 +146,19 @@ def parse(page: str) -> Node:
         if not tag:
             continue
         if found["close"]:
-            node = here
-            while node.parent is not None and node.tag != tag:
-                if tag in INLINE and node.tag not in INLINE:
-                    node = root  # an inline end tag doesn't close blocks
-                    break
-                node = node.parent
-            if node.parent is not None:
-                here = node.parent
-            elif tag == "p":
-                here.children.append(Node("p", here))
+            if not opened.end(tag) and tag == "p":
+                opened.here.children.append(Node("p", opened.here))
             continue
-        if tag in ENDS_P:
-            node = here
-            while node.parent is not None and node.tag in INLINE:
-                node = node.parent
-            if node.tag == "p":
-                here = node.parent
-        closes = SAME_CLOSES.get(tag)
-        if closes:
-            node, last = here, None
-            while node.parent is not None and node.tag not in HOLDS[tag]:
-                if node.tag in closes:
-                    last = node
-                node = node.parent
-            if last is not None:
-                here = last.parent
-        node = Node(tag, here, _apart(tag, found["attributes"], here), _marked(tag, found["attributes"]))
-        here.children.append(node)
+        opened.before(tag)
+        node = Node(tag, opened.here, _apart(tag, found["attributes"], opened), _marked(tag, found["attributes"]))
+        opened.here.children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
             if tag in ("textarea", "xmp"):
                 node.children.append(page[at : end.start() if end else size])
             at = end.end() if end else size
-        elif tag not in VOID and not found["attributes"].rstrip().endswith("/") or tag not in VOID and tag in INLINE | ENDS_P:
-            here = node
+        elif tag not in VOID and (tag in INLINE | ENDS_P or not found["attributes"].rstrip().endswith("/")):
+            opened.enter(node)
     return root
 
 
@@ -150,10 +175,12 @@ def _nodes(root: Node) -> list[Node]:
 def _measure(order: list[Node], body: Node) -> None:
     for node in reversed(order):
         chars = link_chars = tags = link_tags = 0
+        node.holds_block = False
         for c in node.children:
             if isinstance(c, str):
                 chars += len(SPACE.sub(" ", c).strip())
             elif not c.dropped:
+                node.holds_block = node.holds_block or c.tag not in INLINE or c.holds_block
                 chars, link_chars = chars + c.chars, link_chars + c.link_chars
                 tags, link_tags = tags + c.tags + 1, link_tags + c.link_tags
         if node.tag == "a":
@@ -188,7 +215,7 @@ def _parts(node: Node):
             run[0] += len(SPACE.sub(" ", c).strip())
         elif c.dropped:
             continue
-        elif c.tag in INLINE and not _holds_block(c):
+        elif c.tag in INLINE and not c.holds_block:
             run = [run[0] + c.chars, run[1] + c.link_chars, run[2] + c.tags + 1, run[3] + c.link_tags]
         else:
             if run[0]:
@@ -199,20 +226,13 @@ def _parts(node: Node):
         yield tuple(run)
 
 
-def _holds_block(node: Node) -> bool:
-    todo = [node]
-    while todo:
-        for c in todo.pop().children:
-            if isinstance(c, Node) and not c.dropped:
-                if c.tag not in INLINE:
-                    return True
-                todo.append(c)
-    return False
+def _is_block(node: Node) -> bool:
+    return node.tag not in INLINE or node.holds_block
 
 
 def _drop_marked(order: list[Node], body: Node) -> bool:
     """Drop the marked elements that don't hold the densest subtree of the others; whether there were any."""
-    node = max((n for n in order if not n.marked), key=lambda n: n.total)
+    node = max((n for n in order if not n.marked and _is_block(n)), key=lambda n: n.total, default=body)
     above = {id(node)}
     while node is not body and node.parent is not None:
         node = node.parent
@@ -237,7 +257,7 @@ def select(root: Node) -> list[Node]:
     if not body.chars:
         return []
     first = {id(n): i for i, n in enumerate(order)}
-    best = max(order, key=lambda n: (n.total, -first[id(n)]))
+    best = max(filter(_is_block, order), key=lambda n: (n.total, -first[id(n)]), default=body)
     core = node = best
     threshold = best.density
     while node is not body and node.parent is not None:

@@ -248,3 +248,75 @@ LONG = "A sentence of the article that goes on for a good while, with words enou
 ])
 def test_html_keeps_what_only_sounds_apart(body, held):
     assert held in html_text.main_text(f"<html><body>{body}</body></html>")
+
+
+def test_html_density_alone_finds_what_an_article_element_marks():
+    import re
+
+    import pyarrow.parquet as pq
+
+    for row in pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist():
+        page = row["html"] or ""
+        plain = re.sub(r"<(/?)(article|main)\b", r"<\1div", page)
+        assert plain == page or html_text.main_text(plain) == html_text.main_text(page)
+
+
+def brute_density(node, whole):
+    """(chars, link chars, tags, link tags), density and density sum, each from the whole subtree again."""
+    import math
+
+    def counts(x, linked):
+        chars = link_chars = tags = link_tags = 0
+        for c in x.children:
+            if isinstance(c, str):
+                chars += len(" ".join(c.split()))
+                link_chars += linked * len(" ".join(c.split()))
+            else:
+                a = counts(c, linked or c.tag == "a")
+                chars, link_chars, tags = chars + a[0], link_chars + a[1], tags + a[2] + 1
+                link_tags += a[3] + (c.tag == "a" and not linked) * (a[2] + 1 - a[3])
+        return chars, link_chars, tags, link_tags
+
+    def density(chars, link_chars, tags, link_tags):
+        if not chars:
+            return 0.0
+        ratio = chars / max(link_chars, 1) * max(tags, 1) / max(link_tags, 1)
+        base = math.log(chars / max(chars - link_chars, 1) * link_chars + whole * chars + math.e)
+        log = math.log(max(ratio, 1 + 1e-9))
+        return chars / max(tags, 1) * max(log / math.log(max(base, 1 + 1e-9)) if base > 1 else log, 0.0)
+
+    return counts(node, node.tag == "a"), density(*counts(node, node.tag == "a"))
+
+
+def test_html_densities_of_random_trees():
+    rng = random.Random(9)
+
+    def tree(depth):
+        if depth == 0 or rng.random() < 0.2:
+            return "text " * rng.randint(0, 12)
+        tag = rng.choice(["div", "p", "section", "b", "span", "td"])
+        return f"<{tag}>" + "".join(tree(depth - 1) for _ in range(rng.randint(1, 4))) + f"</{tag}>" + ("<a href=x>a link</a>" if rng.random() < 0.2 else "")
+
+    for _ in range(60):
+        root = html_text.parse(f"<body>{tree(5)}</body>")
+        order = html_text._nodes(root)
+        body = next(n for n in order if n.tag == "body")
+        html_text._measure(order, body)
+        whole = body.link_chars / max(body.chars, 1)
+        for node in order:
+            expected, density = brute_density(node, whole)
+            assert (node.chars, node.link_chars, node.tags) == expected[:3]
+            if node.tag != "a":
+                assert abs(node.density - density) < 1e-6 * max(1.0, density)
+            # The sum of the densities of block children, without runs of text, never passes the density sum.
+            blocks = [c.density for c in node.children if not isinstance(c, str) and (c.tag not in html_text.INLINE or c.holds_block)]
+            assert node.total >= sum(blocks) - 1e-6
+
+
+@pytest.mark.parametrize("page", ["<b>" * 16_000 + "x", "<b>" * 8_000 + "<hr>" * 8_000, "<div>" * 8_000 + "<li>a</li>" * 8_000, "<i><div>" + "<b>" * 8_000 + "</i>" * 8_000, "<td><table>" + "<div>" * 8_000 + "<td>x</td>" * 8_000])
+def test_html_takes_time_in_proportion(page):
+    import time
+
+    began = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - began < 3
