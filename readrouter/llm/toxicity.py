@@ -1,8 +1,11 @@
 """Toxicity: a factorization machine over hashed terms.
 
-Terms are the words of the case-folded text and their leading 4 to 7 characters, hashed into 2^20 buckets. The buckets
-that best separate the labels are kept and a second-order factorization machine is fitted over their presence, so
-that a pair of terms can weigh more than the two apart.
+Terms are the words of the case-folded text and their leading 4 to 7 characters, hashed into 2^20 buckets. A second-order
+factorization machine is fitted over their presence. Every bucket that a few training texts hold has a weight, and an L1
+penalty, not a test of each term by itself, sets weights to zero. The factors start from the directions in which
+pairs of terms explain what the linear part leaves (power iteration on the loss's second-order term, made sparse as it
+goes), so terms that say nothing alone and much together are found. Weights and factors are then fitted together by
+sparse minibatches.
 
 Defined results: null text counts as empty; an empty text has the score of the bias alone; repeated rows are scored
 each; other columns pass through, and an output column that clashes with one of them replaces it. With no labelled rows, or
@@ -43,12 +46,29 @@ class FactorizationMachine:
     factors: np.ndarray = field(default_factory=lambda: np.zeros((0, 1)))
 
     def score(self, present: list[int]) -> float:
-        z = self.bias
-        if present:
-            v = self.factors[present]
-            s = v.sum(0)
-            z += self.weights[present].sum() + 0.5 * float((s * s - (v * v).sum(0)).sum())
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        return float(self.scores([present])[0])
+
+    def scores(self, present: list[list[int]]) -> np.ndarray:
+        """Scores of texts, each given by the places of its terms in the model."""
+        sizes = np.array([len(x) for x in present], np.int64)
+        at = np.concatenate([np.asarray(x, np.int64) for x in present]) if len(present) else np.zeros(0, np.int64)
+        z = self.bias + _sums(self.weights[at], sizes) + _pairs(self.factors[at], sizes)[0]
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums over consecutive groups of the given sizes, empty ones too."""
+    out = np.zeros((len(sizes), *values.shape[1:]), values.dtype)
+    real = sizes > 0
+    if real.any():
+        out[real] = np.add.reduceat(values, (np.cumsum(sizes) - sizes)[real], axis=0)
+    return out
+
+
+def _pairs(factors: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each group the sum of the products of all pairs of its factors, and the factors' sum."""
+    total = _sums(factors, sizes)
+    return 0.5 * ((total * total).sum(1) - _sums((factors * factors).sum(1), sizes)), total
 
 
 class Presence:
@@ -70,69 +90,159 @@ class Presence:
         return sorted(found)
 
 
-def fit_machine(rows: list[list[int]], labels: np.ndarray, buckets: list[int], rank: int = 8, steps: int = 250, seed: int = 7) -> FactorizationMachine:
-    """Full-batch Adam on the logistic loss with L2 on weights and factors."""
+class Rows:
+    """Texts as sorted places of their terms, one after another."""
+
+    def __init__(self, places: np.ndarray, sizes: np.ndarray, labels: np.ndarray):
+        self.places, self.sizes, self.labels = places, sizes, labels.astype(np.float32)
+        self.ends = np.cumsum(sizes)
+
+    def __len__(self) -> int:
+        return len(self.sizes)
+
+    def part(self, a: int, b: int) -> "Rows":
+        start = int(self.ends[a - 1]) if a else 0
+        return Rows(self.places[start : int(self.ends[b - 1]) if b else 0], self.sizes[a:b], self.labels[a:b])
+
+    def parts(self, size: int) -> list["Rows"]:
+        return [self.part(a, min(a + size, len(self))) for a in range(0, len(self), size)]
+
+    def only(self, wanted: np.ndarray) -> "Rows":
+        """The rows without terms that aren't wanted; the places stay as they are."""
+        held = wanted[self.places]
+        return Rows(self.places[held], _sums(held.astype(np.int64), self.sizes), self.labels)
+
+    def of(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self)), self.sizes)
+
+
+class Fit:
+    """The state of a machine that is being fitted: parameters and the squares of their gradients (Adagrad)."""
+
+    def __init__(self, bias: float, k: int, rank: int):
+        self.bias, self.w, self.v = bias, np.zeros(k, np.float32), np.zeros((k, rank), np.float32)
+        self.seen_bias, self.seen_w, self.seen_v = 1e-8, np.full(k, 1e-8, np.float32), np.full(k, 1e-8, np.float32)
+
+    def logits(self, rows: Rows, paired: Rows | None) -> np.ndarray:
+        z = self.bias + _sums(self.w[rows.places], rows.sizes)
+        return z if paired is None else z + _pairs(self.v[paired.places], paired.sizes)[0]
+
+    def loss(self, parts: list[tuple[Rows, Rows | None]]) -> float:
+        z = np.concatenate([self.logits(*p) for p in parts])
+        y = np.concatenate([p[0].labels for p in parts])
+        return float(np.mean(np.logaddexp(0, z) - y * z))
+
+    def step(self, rows: Rows, paired: Rows | None, rate: float, l1: float, group: float) -> None:
+        """A proximal Adagrad step: L1 on the weights, the L2 norm of each term's factors as a group."""
+        g = ((1 / (1 + np.exp(-np.clip(self.logits(rows, paired), -30, 30))) - rows.labels) / len(rows)).astype(np.float32)
+        dw = np.bincount(rows.places, np.repeat(g, rows.sizes), minlength=len(self.w)).astype(np.float32)
+        self.seen_w += dw * dw
+        size = rate / np.sqrt(self.seen_w)
+        moved = self.w - size * dw
+        self.w = np.sign(moved) * np.maximum(np.abs(moved) - size * l1, 0)
+        if paired is not None and len(paired.places):
+            v = self.v[paired.places]
+            of = paired.of()
+            dv = _spread(paired.places, g[of][:, None] * (_sums(v, paired.sizes)[of] - v), len(self.w))
+            self.seen_v += (dv * dv).mean(1)
+            size = 0.2 * rate / np.sqrt(self.seen_v)
+            moved = self.v - size[:, None] * dv
+            norm = np.sqrt((moved * moved).sum(1))
+            self.v = moved * np.maximum(1 - size * group / np.maximum(norm, 1e-12), 0)[:, None]
+        self.seen_bias += float(g.sum()) ** 2
+        self.bias -= rate * float(g.sum()) / self.seen_bias**0.5
+
+
+def _spread(places: np.ndarray, values: np.ndarray, k: int) -> np.ndarray:
+    """The sum of the rows of values for each place."""
+    return np.stack([np.bincount(places, column, minlength=k) for column in values.T], 1).astype(np.float32)
+
+
+def pair_directions(parts: list[Rows], residuals: list[np.ndarray], k: int, rank: int, kept: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
+    """Factors along which pairs of terms explain the residuals best, by power iteration; later rounds keep ever fewer terms, at last `kept`."""
+    single = sum(np.bincount(p.places, np.repeat(g, p.sizes), minlength=k) for p, g in zip(parts, residuals)).astype(np.float32)
+
+    def times(u):
+        out = -single[:, None] * u
+        for p, g in zip(parts, residuals):
+            out += _spread(p.places, (_sums(u[p.places], p.sizes) * g[:, None])[p.of()], k)
+        return out
+
+    u = np.random.default_rng(seed).normal(0, 1, (k, rank)).astype(np.float32)
+    for i in range(rounds):
+        u = np.linalg.qr(times(u))[0].astype(np.float32)
+        u = np.pad(u, ((0, 0), (0, rank - u.shape[1])))
+        room = kept << (rounds - 1 - i)
+        if i >= rounds // 2 and room < k:
+            norm = (u * u).sum(1)
+            u[norm < np.partition(norm, -room)[-room]] = 0
+    inner = u.T @ times(u)
+    values, turn = np.linalg.eigh((inner + inner.T) / 2)
+    values = np.maximum(values, 0)
+    return (u @ turn * np.sqrt(values / max(values.max(), 1e-12))).astype(np.float32)
+
+
+def fit_machine(rows: list, labels: np.ndarray, buckets: list[int], rank: int = 4, steps: int = 3000, seed: int = 7, rate: float = 0.1, l1: float = 2e-4, group: float = 1e-3, factored: int = 512) -> FactorizationMachine:
+    """Fit on rows of places in buckets; every tenth row chooses the epoch. `factored` terms get factors, all get weights."""
     n, k = len(rows), len(buckets)
-    rate = float(np.clip(labels.mean(), 1e-3, 1 - 1e-3)) if n else 0.5
-    machine = FactorizationMachine(float(np.log(rate / (1 - rate))), {b: i for i, b in enumerate(buckets)}, np.zeros(k), np.zeros((k, rank)))
+    share = float(np.clip(labels.mean(), 1e-3, 1 - 1e-3)) if n else 0.5
+    bias = float(np.log(share / (1 - share)))
+    machine = FactorizationMachine(bias, {b: i for i, b in enumerate(buckets)}, np.zeros(k), np.zeros((k, rank)))
     if not n or not k or labels.min() == labels.max():
         return machine
-    x = np.zeros((n, k), np.float32)
-    for i, present in enumerate(rows):
-        x[i, present] = 1
     rng = np.random.default_rng(seed)
-    p = [np.array([machine.bias], np.float32), np.zeros(k, np.float32), rng.normal(0, 0.02, (k, rank)).astype(np.float32)]
-    m, s = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
-    y = labels.astype(np.float32)
-    for t in range(1, steps + 1):
-        xv = x @ p[2]
-        z = p[0] + x @ p[1] + 0.5 * ((xv * xv).sum(1) - x @ (p[2] * p[2]).sum(1))
-        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
-        xg = x.T @ g
-        grads = [np.array([g.sum()]), xg + 1e-5 * p[1], x.T @ (g[:, None] * xv) - p[2] * xg[:, None] + 1e-4 * p[2]]
-        for j in range(3):
-            m[j] = 0.9 * m[j] + 0.1 * grads[j]
-            s[j] = 0.99 * s[j] + 0.01 * grads[j] ** 2
-            p[j] = (p[j] - 0.05 * (m[j] / (1 - 0.9**t)) / (np.sqrt(s[j] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
-    machine.bias, machine.weights, machine.factors = float(p[0][0]), p[1].astype(float), p[2].astype(float)
+    order = rng.permutation(n)
+    every = [np.asarray(rows[i], np.int32) for i in order]
+    data = Rows(np.concatenate(every), np.array([len(x) for x in every]), np.asarray(labels)[order])
+    del every
+    held = n // 10 if n >= 50 else 0
+    batches, tests = data.part(held, n).parts(128), (data.part(0, held) if held else data).parts(1024)
+    fit = Fit(bias, k, rank)
+    best = (fit.loss([(t, None) for t in tests]), fit.bias, fit.w, fit.v)
+    for epoch in range(6):  # the linear part alone, as far as it holds on rows that it has not seen
+        for i in rng.permutation(len(batches)):
+            fit.step(batches[i], None, rate / 2, 1e-3, group)
+        best = min(best, (fit.loss([(t, None) for t in tests]), fit.bias, fit.w, fit.v), key=lambda x: x[0])
+    fit.bias, fit.w = best[1:3]
+    residuals = [((b.labels - 1 / (1 + np.exp(-np.clip(fit.logits(b, None), -30, 30)))) / n).astype(np.float32) for b in batches]
+    start = pair_directions(batches, residuals, k, rank, factored, seed=seed)
+    live = np.abs(start).sum(1) > 0
+    batches, tests = [(b, b.only(live)) for b in batches], [(t, t.only(live)) for t in tests]
+    tried = []
+    for scale in (0.03, 0.1, 0.2, 0.4, 0.7, 1.0, 1.5):
+        fit.v = scale * start
+        tried.append((fit.loss(batches), scale))
+    fit.v = min(tried)[1] * start
+    for epoch in range(max(8, -(-steps // len(batches)))):
+        for i in rng.permutation(len(batches)):
+            fit.step(*batches[i], rate, l1, group)
+        best = min(best, (fit.loss(tests), fit.bias, fit.w, fit.v), key=lambda x: x[0])
+    _, machine.bias, machine.weights, machine.factors = best[0], float(best[1]), best[2].astype(float), best[3].astype(float)
     return machine
 
 
-def _count(batches):
-    """Of each bucket, the texts that hold it and the toxic ones among them."""
-    seen: dict[int, list[int]] = {}
+def _present(batches):
+    """The buckets of each text's terms, sorted, as little-endian 32-bit integers, and its label."""
     known: dict[str, list[int]] = {}
     for batch in batches:
-        for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            held = set()
+        found = []
+        for text in batch.column(0).to_pylist():
+            held: set[int] = set()
             for word in set(WORD.findall((text or "").lower())):
-                found = known.get(word)
-                if found is None:
-                    found = known[word] = terms(word)
-                held.update(found)
+                own = known.get(word)
+                if own is None:
+                    own = known[word] = terms(word)
+                held.update(own)
             if len(known) > REMEMBERED:
                 known.clear()
-            for b in held:
-                c = seen.setdefault(b, [0, 0])
-                c[0] += 1
-                c[1] += label
-    if seen:
-        keys = list(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([seen[k][0] for k in keys], pa.int64()), pa.array([seen[k][1] for k in keys], pa.int64())], ["bucket", "n", "pos"])
-
-
-def _present(batches, buckets):
-    find = Presence(buckets)
-    for batch in batches:
-        found = [find(t) for t in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(1)], ["present", "label"])
+            found.append(np.array(sorted(held), "<i4").tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(1)], ["present", "label"])
 
 
-def train(documents: DataFrame, labels: DataFrame, max_rows: int = 16_384, max_terms: int = 1024, least: int = 8, least_z: float = 5.0) -> FactorizationMachine:
+def train(documents: DataFrame, labels: DataFrame, max_rows: int = 16_384, least: int = 5) -> FactorizationMachine:
     """Fit on labelled rows outside the held-out fold: all of them, or max_rows of them by hash of the id.
 
-    max_rows bounds what the driver ever holds, max_terms the size of the model; a term in under `least` of these
-    texts, or under `least_z` standard deviations from the label rate, is not used.
+    max_rows bounds what the driver ever holds. A term in under `least` of these texts, or in all of them, is not used.
     """
     chosen = (
         labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -140,23 +250,25 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = 16_384, max_t
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     )
     texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
-    totals = texts.agg(F.count("*").alias("n"), F.sum("label").alias("pos")).first()
-    n, pos = totals["n"], totals["pos"] or 0
-    if not 0 < pos < n:
-        return fit_machine([[]] * n, np.full(n, int(pos > 0)), [])
-    rate = pos / n
-    z = (F.col("pos") - F.col("n") * rate) / F.sqrt(F.col("n") * (rate * (1 - rate)))
-    counts = map_arrow(texts, _count, "bucket int, n bigint, pos bigint").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
-    best = counts.where((F.col("n") >= least) & (F.abs(z) >= least_z)).orderBy(F.abs(z).desc(), "bucket").limit(max_terms).collect()
-    buckets = sorted(r["bucket"] for r in best)
-    rows = map_arrow(texts, partial(_present, buckets={b: i for i, b in enumerate(buckets)}), "present array<int>, label int").collect()
-    return fit_machine([r["present"] for r in rows], np.array([r["label"] for r in rows]), buckets)
+    rows = map_arrow(texts, _present, "present binary, label int").collect()
+    rows.sort()  # the order of partitions must not change the fit
+    y = np.array([r["label"] for r in rows])
+    held = [np.frombuffer(r["present"], "<i4") for r in rows]
+    count = sum((np.bincount(h, minlength=BUCKETS) for h in held), np.zeros(BUCKETS, np.int64))
+    used = np.flatnonzero((count >= least) & (count < max(len(rows), 1)))
+    place = np.full(BUCKETS, -1, np.int32)
+    place[used] = np.arange(len(used))
+    held = [p[p >= 0] for p in (place[h] for h in held)]
+    machine = fit_machine(held, y, used.tolist())
+    # Terms that the penalties left out need not travel.
+    kept = np.flatnonzero((machine.weights != 0) | (np.abs(machine.factors).sum(1) > 0))
+    return FactorizationMachine(machine.bias, {int(used[i]): n for n, i in enumerate(kept)}, machine.weights[kept], machine.factors[kept])
 
 
 def _score(batches, machine, text_at):
     find = Presence(machine.buckets)
     for batch in batches:
-        scores = [machine.score(find(t)) for t in batch.column(text_at).to_pylist()]
+        scores = machine.scores([find(t) for t in batch.column(text_at).to_pylist()])
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
 
 

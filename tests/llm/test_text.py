@@ -320,3 +320,42 @@ def test_html_takes_time_in_proportion(page):
     began = time.process_time()
     html_text.main_text(page)
     assert time.process_time() - began < 3
+
+
+@pytest.mark.parametrize("filler, vocabulary", [(20, 300), (40, 1000)])
+def test_toxicity_finds_terms_that_matter_only_in_pairs(spark, filler, vocabulary):
+    """Toxic where exactly one of two words stands: neither says anything alone."""
+    rng = random.Random(filler)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8))) for _ in range(vocabulary)]
+    texts, truth = [], {}
+    for i in range(1500):
+        one, two = rng.random() < 0.5, rng.random() < 0.5
+        own = rng.choices(words, k=filler) + ["ravenous"] * one + ["quill"] * two
+        rng.shuffle(own)
+        texts.append((i, " ".join(own)))
+        truth[i] = int(one != two)
+    docs, labels = spark.createDataFrame(texts, "doc_id bigint, text string"), spark.createDataFrame(list(truth.items()), "doc_id bigint, toxic int")
+    rows = toxicity.toxicity(docs, labels).where("held_out").collect()
+    assert np.mean([r["predicted"] == truth[r["doc_id"]] for r in rows]) > 0.9
+
+
+def test_toxicity_of_repeated_rows_and_clashing_columns(spark):
+    docs, labels = labelled(spark, 200)
+    twice = docs.unionByName(docs.where("doc_id < 50"))
+    rows = toxicity.toxicity(twice, labels).collect()
+    scores = {}
+    for r in rows:
+        scores.setdefault(r["doc_id"], set()).add(r["score"])
+    assert len(rows) == 250 and all(len(s) == 1 for s in scores.values())
+    clash = docs.withColumn("label", F.lit("x")).withColumn("present", F.lit("x")).withColumn("held_out", F.lit("x"))
+    assert toxicity.toxicity(clash, labels.withColumn("text", F.lit("x")).withColumn("label", F.lit(7))).count() == 200
+    assert toxicity.toxicity(docs, labels.withColumn("toxic", F.lit(None).cast("int"))).count() == 200
+
+
+@pytest.mark.parametrize("sf, least", [("sf0.1", 0.985)])
+def test_toxicity_ranks_the_held_out_fold(spark, sf, least):
+    folder = f"/root/testdata/{sf}"
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    rows = toxicity.toxicity(spark.read.parquet(f"{folder}/documents.parquet"), labels).where("held_out").join(labels, "doc_id").select("score", "toxic").collect()
+    good, bad = ([r["score"] for r in rows if r["toxic"] == k] for k in (0, 1))
+    assert np.mean([(b > g) + 0.5 * (b == g) for b in bad for g in good]) >= least
