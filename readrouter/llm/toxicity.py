@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, map_arrow, with_fields
+from .sparse import Rows, common_terms, shrunk, spread, sums
 
 WORD = re.compile(r"\w+")
 BUCKETS = 1 << 20
@@ -52,23 +53,14 @@ class FactorizationMachine:
         """Scores of texts, each given by the places of its terms in the model."""
         sizes = np.array([len(x) for x in present], np.int64)
         at = np.concatenate([np.asarray(x, np.int64) for x in present]) if len(present) else np.zeros(0, np.int64)
-        z = self.bias + _sums(self.weights[at], sizes) + _pairs(self.factors[at], sizes)[0]
+        z = self.bias + sums(self.weights[at], sizes) + _pairs(self.factors[at], sizes)[0]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Sums over consecutive groups of the given sizes, empty ones too."""
-    out = np.zeros((len(sizes), *values.shape[1:]), values.dtype)
-    real = sizes > 0
-    if real.any():
-        out[real] = np.add.reduceat(values, (np.cumsum(sizes) - sizes)[real], axis=0)
-    return out
-
-
 def _pairs(factors: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each group the sum of the products of all pairs of its factors, and the factors' sum."""
-    total = _sums(factors, sizes)
-    return 0.5 * ((total * total).sum(1) - _sums((factors * factors).sum(1), sizes)), total
+    total = sums(factors, sizes)
+    return 0.5 * ((total * total).sum(1) - sums((factors * factors).sum(1), sizes)), total
 
 
 class Presence:
@@ -90,32 +82,6 @@ class Presence:
         return sorted(found)
 
 
-class Rows:
-    """Texts as sorted places of their terms, one after another."""
-
-    def __init__(self, places: np.ndarray, sizes: np.ndarray, labels: np.ndarray):
-        self.places, self.sizes, self.labels = places, sizes, labels.astype(np.float32)
-        self.ends = np.cumsum(sizes)
-
-    def __len__(self) -> int:
-        return len(self.sizes)
-
-    def part(self, a: int, b: int) -> "Rows":
-        start = int(self.ends[a - 1]) if a else 0
-        return Rows(self.places[start : int(self.ends[b - 1]) if b else 0], self.sizes[a:b], self.labels[a:b])
-
-    def parts(self, size: int) -> list["Rows"]:
-        return [self.part(a, min(a + size, len(self))) for a in range(0, len(self), size)]
-
-    def only(self, wanted: np.ndarray) -> "Rows":
-        """The rows without terms that aren't wanted; the places stay as they are."""
-        held = wanted[self.places]
-        return Rows(self.places[held], _sums(held.astype(np.int64), self.sizes), self.labels)
-
-    def of(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self)), self.sizes)
-
-
 class Fit:
     """The state of a machine that is being fitted: parameters and the squares of their gradients (Adagrad)."""
 
@@ -124,7 +90,7 @@ class Fit:
         self.seen_bias, self.seen_w, self.seen_v = 1e-8, np.full(k, 1e-8, np.float32), np.full(k, 1e-8, np.float32)
 
     def logits(self, rows: Rows, paired: Rows | None) -> np.ndarray:
-        z = self.bias + _sums(self.w[rows.places], rows.sizes)
+        z = self.bias + sums(self.w[rows.places], rows.sizes)
         return z if paired is None else z + _pairs(self.v[paired.places], paired.sizes)[0]
 
     def loss(self, parts: list[tuple[Rows, Rows | None]]) -> float:
@@ -139,11 +105,11 @@ class Fit:
         self.seen_w += dw * dw
         size = rate / np.sqrt(self.seen_w)
         moved = self.w - size * dw
-        self.w = np.sign(moved) * np.maximum(np.abs(moved) - size * l1, 0)
+        self.w = shrunk(moved, size * l1)
         if paired is not None and len(paired.places):
             v = self.v[paired.places]
             of = paired.of()
-            dv = _spread(paired.places, g[of][:, None] * (_sums(v, paired.sizes)[of] - v), len(self.w))
+            dv = spread(paired.places, g[of][:, None] * (sums(v, paired.sizes)[of] - v), len(self.w))
             self.seen_v += (dv * dv).mean(1)
             size = 0.2 * rate / np.sqrt(self.seen_v)
             moved = self.v - size[:, None] * dv
@@ -153,11 +119,6 @@ class Fit:
         self.bias -= rate * float(g.sum()) / self.seen_bias**0.5
 
 
-def _spread(places: np.ndarray, values: np.ndarray, k: int) -> np.ndarray:
-    """The sum of the rows of values for each place."""
-    return np.stack([np.bincount(places, column, minlength=k) for column in values.T], 1).astype(np.float32)
-
-
 def pair_directions(parts: list[Rows], residuals: list[np.ndarray], k: int, rank: int, kept: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
     """Factors along which pairs of terms explain the residuals best, by power iteration; later rounds keep ever fewer terms, at last `kept`."""
     single = sum(np.bincount(p.places, np.repeat(g, p.sizes), minlength=k) for p, g in zip(parts, residuals)).astype(np.float32)
@@ -165,7 +126,7 @@ def pair_directions(parts: list[Rows], residuals: list[np.ndarray], k: int, rank
     def times(u):
         out = -single[:, None] * u
         for p, g in zip(parts, residuals):
-            out += _spread(p.places, (_sums(u[p.places], p.sizes) * g[:, None])[p.of()], k)
+            out += spread(p.places, (sums(u[p.places], p.sizes) * g[:, None])[p.of()], k)
         return out
 
     u = np.random.default_rng(seed).normal(0, 1, (k, rank)).astype(np.float32)
@@ -192,9 +153,7 @@ def fit_machine(rows: list, labels: np.ndarray, buckets: list[int], rank: int =
         return machine
     rng = np.random.default_rng(seed)
     order = rng.permutation(n)
-    every = [np.asarray(rows[i], np.int32) for i in order]
-    data = Rows(np.concatenate(every), np.array([len(x) for x in every]), np.asarray(labels)[order])
-    del every
+    data = Rows.of_lists([rows[i] for i in order], np.asarray(labels)[order])
     held = n // 10 if n >= 50 else 0
     batches, tests = data.part(held, n).parts(128), (data.part(0, held) if held else data).parts(1024)
     fit = Fit(bias, k, rank)
@@ -253,12 +212,7 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = 16_384, least
     rows = map_arrow(texts, _present, "present binary, label int").collect()
     rows.sort()  # the order of partitions must not change the fit
     y = np.array([r["label"] for r in rows])
-    held = [np.frombuffer(r["present"], "<i4") for r in rows]
-    count = sum((np.bincount(h, minlength=BUCKETS) for h in held), np.zeros(BUCKETS, np.int64))
-    used = np.flatnonzero((count >= least) & (count < max(len(rows), 1)))
-    place = np.full(BUCKETS, -1, np.int32)
-    place[used] = np.arange(len(used))
-    held = [p[p >= 0] for p in (place[h] for h in held)]
+    used, held = common_terms([np.frombuffer(r["present"], "<i4") for r in rows], BUCKETS, least)
     machine = fit_machine(held, y, used.tolist())
     # Terms that the penalties left out need not travel.
     kept = np.flatnonzero((machine.weights != 0) | (np.abs(machine.factors).sum(1) > 0))

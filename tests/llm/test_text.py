@@ -359,3 +359,36 @@ def test_toxicity_ranks_the_held_out_fold(spark, sf, least):
     rows = toxicity.toxicity(spark.read.parquet(f"{folder}/documents.parquet"), labels).where("held_out").join(labels, "doc_id").select("score", "toxic").collect()
     good, bad = ([r["score"] for r in rows if r["toxic"] == k] for k in (0, 1))
     assert np.mean([(b > g) + 0.5 * (b == g) for b in bad for g in good]) >= least
+
+
+def test_quality_tells_fluent_texts_apart_by_their_words(spark):
+    """Good and bad texts of equal statistics, which differ in the words that they use."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(400)]
+    texts, truth = [], {}
+    for i in range(1200):
+        truth[i] = int(rng.random() < 0.5)
+        texts.append((i, " ".join(rng.choices(words[:160] if truth[i] else words[120:280], k=60)) + "."))
+    docs, labels = spark.createDataFrame(texts, "doc_id bigint, text string"), spark.createDataFrame(list(truth.items()), "doc_id bigint, quality int")
+    rows = quality.quality(docs, labels).where("held_out").collect()
+    assert np.mean([r["predicted"] == truth[r["doc_id"]] for r in rows]) > 0.9
+
+
+def test_quality_of_long_and_repeated_texts_and_clashing_columns(spark):
+    docs, labels = labelled(spark, 200)
+    docs = docs.unionByName(documents(spark, ["word " * 200_000, "x" * 1_000_000]).withColumn("doc_id", F.col("doc_id") + 9000)).unionByName(docs.where("doc_id < 50"))
+    clash = docs.withColumn("half", F.lit("x")).withColumn("held_out", F.lit("x")).withColumn("x", F.lit(1)).withColumn("words", F.lit(1))
+    rows = quality.quality(clash, labels.withColumn("text", F.lit("x")).withColumn("half", F.lit("x"))).collect()
+    scores = {}
+    for r in rows:
+        scores.setdefault(r["doc_id"], set()).add(r["score"])
+    assert len(rows) == 252 and all(len(s) == 1 and 0 <= min(s) and max(s) <= 1 for s in scores.values())
+
+
+def test_quality_ranks_the_held_out_fold(spark):
+    folder = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    rows = quality.quality(spark.read.parquet(f"{folder}/documents.parquet"), labels).where("held_out").join(labels, "doc_id").select("score", "quality", "predicted").collect()
+    good, bad = ([r["score"] for r in rows if r["quality"] == k] for k in (1, 0))
+    assert np.mean([(g > b) + 0.5 * (b == g) for b in bad for g in good]) >= 0.99
+    assert np.mean([r["predicted"] == r["quality"] for r in rows]) >= 0.95
