@@ -1,17 +1,18 @@
 """Document fingerprints as invertible Bloom lookup sketches, with DataFrame and SQL functions only.
 
-A paragraph (line) is cut into runs of at most `unit_words` words (UNIT_WORDS, and 12 in the op7 query); the digest of a run and its number among equal runs of the
-text is an element. Elements are dealt to shards by their low bits, a power of two of them for a text of n elements so that
-about SHARD_ELEMENTS meet in one, and within a shard to one cell of each of three parts. A cell holds the number of its
-elements, the exclusive or of their digests and of check values. The cells of two texts subtract, after folding the larger sketch
-to the smaller's number of shards, as elements keep their cell in any fold. In the difference, a cell of one element gives its digest,
-which is removed from its other cells, and so on (peeling), until all differing digests are known. Where peeling stops
-short, the pair is sketched again with shards for the elements of both texts, four times the cells and other hashes, and so on until
-all of its shards peel; nothing is estimated.
+A paragraph (line) is cut into runs of at most `unit_words` words; the digest of a run and its number among equal runs of the
+text is an element. Elements are dealt to shards by their low bits, a power of two of them, so that at most about SHARD_ELEMENTS
+elements of a text meet in one, and within a shard to one cell of each of three parts. A cell holds the number of its
+elements, the exclusive or of their digests and of check values. The cells of two texts subtract, both with the shards of
+the longer one, as an element keeps its cell for any number of shards. In the difference, a cell of one element gives its digest, which is
+removed from its other cells, and so on (peeling), until all differing digests are known. A shard that does not peel is
+sketched again from both texts with four times the cells and other hashes, until it peels; nothing is estimated.
 
-Likeness is the share of elements in common: (n - d) / (n + d), with n the elements of both texts and d those that differ.
+Likeness is the share of elements in common: (n - d) / (n + d), with n the elements of both texts and d the digests recovered.
+`differences` returns those digests.
 
-Everything runs on one shuffle of the texts: documents are dealt by ranges of ids, and the first of each range also goes to the range before.
+Sketches of a text, of its edited text and of the next text share rows where their shards are as many. Everything runs on one shuffle
+of the texts: documents are dealt by ranges of ids, and the first of each range also goes to the range before.
 
 Defined results: null text counts as empty; two texts without words are alike (1); the text after the last id is that of the first; with one document it
 follows itself; rows that repeat an id must repeat its text, and follow as one; a row with a null id has no place in the order and
@@ -20,18 +21,22 @@ gets no fingerprint.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, sized, stage
+from .common import keep_ids, partitions, sized, stage
 
-UNIT_WORDS, SHARD_ELEMENTS = 16, 16
+UNIT_WORDS, SHARD_ELEMENTS = 12, 8
 #: Cells in each of the three parts of a shard.
-PART = 11
-#: Each retry leaves a small share of its pairs, so that the last is never reached; a pair that it leaves is an error.
-RETRIES, ROUNDS = 12, 8
+PART = 16
+#: Each retry leaves a small share of its shards, so that the last is never reached; a shard that it leaves is an error.
+RETRIES, ROUNDS = 12, 10
 #: Ranges of ids for each shuffle partition.
 RANGES = 4
+#: What rows are sketched for: text with all that has its number of shards, edited text alone, text with edited text, text with next text.
+ALL, EDITED, WITH_EDITED, WITH_NEXT = range(4)
 
 
 def _bounds(ids: DataFrame, n: int) -> list[int]:
@@ -55,21 +60,21 @@ def _range_of(doc_id: Column, bounds: list[int]) -> Column:
 
 
 def with_next(documents: DataFrame) -> DataFrame:
-    """bucket, doc_id, text, next_id, next_text of every distinct id, by one shuffle."""
+    """bucket, _copy, doc_id, text, next_text of every distinct id, by one shuffle; at the end of a bucket the first document of the next one, as a copy."""
     docs = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     bounds = _bounds(docs.select("doc_id"), RANGES * partitions(docs.sparkSession))
     dealt = docs.withColumn("bucket", _range_of(F.col("doc_id"), bounds))
     heads = sorted((r["bucket"], r["id"]) for r in dealt.groupBy("bucket").agg(F.min("doc_id").alias("id")).collect())  # one for each range
-    if not heads:
-        return dealt.select("bucket", "doc_id", "text", F.col("doc_id").alias("next_id"), F.col("text").alias("next_text"))
     before = [(i, heads[k - 1][0]) for k, (_, i) in enumerate(heads)]
     copies = dealt.join(F.broadcast(docs.sparkSession.createDataFrame(before, "doc_id bigint, _to bigint")), "doc_id")
     copies = copies.dropDuplicates(["doc_id"]).select("doc_id", "text", F.col("_to").alias("bucket"), F.lit(1).alias("_copy"))
     rows = dealt.withColumn("_copy", F.lit(0)).unionByName(copies)
-    order = Window.partitionBy("bucket").orderBy("_copy", "doc_id")
-    rows = rows.withColumn("_again", F.lag("doc_id").over(order).eqNullSafe(F.col("doc_id")) & F.lag("_copy").over(order).eqNullSafe(F.col("_copy"))).where("not _again")
-    rows = rows.withColumn("next_id", F.lead("doc_id").over(order)).withColumn("next_text", F.lead("text").over(order))
-    return rows.where("_copy = 0").select("bucket", "doc_id", "text", "next_id", "next_text")
+    rows = rows.withColumn("_again", F.lag("doc_id").over(_in_order()).eqNullSafe(F.col("doc_id")) & F.lag("_copy").over(_in_order()).eqNullSafe(F.col("_copy"))).where("not _again")
+    return rows.select("bucket", "_copy", "doc_id", "text", F.lead("text").over(_in_order()).alias("next_text"))
+
+
+def _in_order():
+    return Window.partitionBy("bucket").orderBy("_copy", "doc_id")
 
 
 def _units(text: Column, unit_words: int) -> Column:
@@ -80,94 +85,167 @@ def _shards(n: Column) -> Column:
     return F.pow(F.lit(2.0), F.greatest(F.ceil(F.log2(F.greatest(n, F.lit(1)) / F.lit(float(SHARD_ELEMENTS)))), F.lit(0))).cast("int")
 
 
-def _check(digest: str) -> str:
-    return f"(hash({digest}, 77) & 65535)"
+def _edit(text: Column, following: Column) -> Column:
+    n = F.length(text)
+    take = F.floor(n / 4).cast("int")
+    return F.concat(F.substring(text, F.lit(1), n - take), F.substring(following, F.lit(1), take))
+
+
+def _check(digest: str, salt: int) -> str:
+    return f"(hash({digest}, {77 + salt}) & 65535)"
 
 
 def _cell(digest: str, part: str, width: int, salt: int) -> str:
-    if salt:
-        return f"({part} * {width} + pmod(hash({digest}, {salt}, cast({part} as int)), {width}))"
-    return f"({part} * {width} + pmod(shiftrightunsigned(hash({digest}, 5), 9 * ({part})), {width}))"
+    return f"({part} * {width} + pmod(hash({digest}, {5 + salt}, {part}), {width}))"
 
 
 def _peeled(cells: str, width: int, salt: int) -> str:
-    """struct<c: cells left, n: digests found> of the cells of a difference."""
-    pure = f"""array_distinct(transform(filter(s.c, x -> abs(x.cnt) = 1 and x.chk = {_check('x.id')} and {_cell('x.id', f'(x.idx div {width})', width, salt)} = x.idx), x -> named_struct('id', x.id, 'cnt', x.cnt)))"""
-    less = f"""aggregate(filter(p, q -> {_cell('q.id', f'(x.idx div {width})', width, salt)} = x.idx), x, (a, q) -> named_struct('idx', a.idx, 'cnt', a.cnt - q.cnt, 'id', a.id ^ q.id, 'chk', a.chk ^ {_check('q.id')}))"""
-    step = f"""transform(array({pure}), p -> if(size(p) = 0, s, named_struct('c', filter(transform(s.c, x -> {less}), x -> x.cnt <> 0 or x.id <> 0 or x.chk <> 0), 'n', s.n + size(p))))[0]"""
-    return f"aggregate(sequence(1, {ROUNDS}), named_struct('c', {cells}, 'n', 0), (s, r) -> {step})"
-
-
-def sketch_and_compare(rows: DataFrame, keys: list[str], kinds: list[str], pairs: list[tuple[int, int]], prints: list[int], width: int, unit_words: int, salt: int = 0) -> DataFrame:
-    """Sketches of the text columns `kinds` of each row and the differences of the pairs of them; with a salt, of a retry.
-
-    A retry takes wider digests, hashed with the salt, and shards by the elements of both texts. rows must be dealt by one of the keys. Returns the keys, print_<kind> for the numbers in prints, and for each pair d_<a>_<b>, failed_<a>_<b>, n_<a>_<b>.
-    """
-    counted = rows.select(*keys, *(_units(F.col(c), unit_words).alias(f"_u{i}") for i, c in enumerate(kinds)))
-    counted = counted.select("*", *(F.size(f"_u{i}").alias(f"_n{i}") for i in range(len(kinds))))
-    own = [*keys, *(f"_n{i}" for i in range(len(kinds)))]
-    units = counted.select(*own, F.explode(F.array(*(F.struct(F.lit(i).alias("kind"), F.col(f"_u{i}").alias("u")) for i in range(len(kinds))))).alias("_k"))
-    units = units.select(*own, F.col("_k.kind").alias("kind"), F.explode_outer("_k.u").alias("_unit")).select(*own, "kind", F.when(F.col("_unit").isNotNull(), F.xxhash64("_unit")).alias("_h"))
-    numbered = units.groupBy(*own, "kind", "_h").agg(F.count("*").cast("int").alias("_c")).withColumn("_o", F.explode(F.sequence(F.lit(1), F.col("_c"))))
-    elements = numbered.select(*own, "kind", F.when(F.col("_h").isNotNull(), F.xxhash64("_h", "_o", F.lit(salt)) if salt else F.hash("_h", "_o")).alias("d"))
-    cells = elements.select(*own, "kind", "d", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("_part"))
-    cells = cells.select(*own, "kind", "d", F.expr(_cell("d", "_part", width, salt)).alias("idx"), F.expr(_check("d")).alias("chk"))
-    size = [_shards(F.col(f"_n{i}")) for i in range(len(kinds))]
-    targets = [F.when(F.col("kind") == k, F.struct(F.lit(t).alias("t"), F.lit(1).alias("sign"), size[k].alias("s"))) for t, k in enumerate(prints)]
-    for t, (a, b) in enumerate(pairs, len(prints)):
-        targets.append(F.when(F.col("kind").isin(a, b), F.struct(F.lit(t).alias("t"), F.when(F.col("kind") == a, 1).otherwise(-1).alias("sign"), (_shards(F.col(f"_n{a}") + F.col(f"_n{b}")) if salt else F.least(size[a], size[b])).alias("s"))))
-    sent = cells.select(*own, "d", "idx", "chk", F.explode(F.array_compact(F.array(*targets))).alias("_t"))
-    sent = sent.select(*own, F.col("_t.t").alias("t"), F.col("_t.s").alias("s"), F.col("d").bitwiseAND(F.col("_t.s") - 1).cast("int").alias("shard"), "idx", F.col("_t.sign").alias("sign"), "d", "chk")
-    summed = sent.groupBy(*own, "t", "s", "shard", "idx").agg(F.sum("sign").cast("int").alias("cnt"), F.bit_xor("d").alias("id"), F.bit_xor("chk").alias("chk"))
-    real = F.col("idx").isNotNull() & ((F.col("cnt") != 0) | (F.col("id") != 0) | (F.col("chk") != 0))
-    # Cells that cancel out go here; a text without elements keeps its row.
-    shards = summed.where(real | F.col("idx").isNull()).groupBy(*own, "t", "s", "shard").agg(F.collect_list(F.when(real, F.struct("idx", "cnt", "id", "chk"))).alias("cells"))
-    text = F.concat(F.lpad(F.hex("shard"), 4, "0"), F.array_join(F.transform(F.array_sort("cells"), lambda c: F.concat(F.lpad(F.hex(c["idx"]), 2, "0"), F.lpad(F.hex(c["cnt"].bitwiseAND(255)), 2, "0"), F.lpad(F.hex(c["id"].cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"), F.lpad(F.hex(c["chk"]), 4, "0"))), ""))
-    shards = shards.withColumn("_print", F.when((F.col("t") < len(prints)) & (F.size("cells") > 0), F.struct("shard", text.alias("x"))))
-    shards = shards.withColumn("_peel", F.when((F.col("t") >= len(prints)) & (F.size("cells") > 0), F.expr(_peeled("cells", width, salt))))
-    shards = shards.select(*own, "t", "_print", F.coalesce(F.col("_peel.n"), F.lit(0)).cast("double").alias("_d"), F.coalesce(F.size("_peel.c") > 0, F.lit(False)).alias("_failed"))
-    done = shards.groupBy(*own).agg(
-        *(F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("t") == t, F.col("_print")))), lambda x: x["x"]), "").alias(f"print_{k}") for t, k in enumerate(prints)),
-        *(F.sum(F.when(F.col("t") == t, F.col("_d")).otherwise(0.0)).alias(f"d_{a}_{b}") for t, (a, b) in enumerate(pairs, len(prints))),
-        *(F.max(F.when(F.col("t") == t, F.col("_failed")).otherwise(False)).alias(f"failed_{a}_{b}") for t, (a, b) in enumerate(pairs, len(prints))),
+    """struct<c: cells left, ids: digests found, each with its side as 1 or -1> of the cells of a difference."""
+    part = f"cast(x.idx div {width} as int)"
+    pure = f"""array_distinct(transform(filter(s.c, x -> abs(x.cnt) = 1 and x.chk = {_check('x.id', salt)} and {_cell('x.id', part, width, salt)} = x.idx), x -> named_struct('id', x.id, 'cnt', x.cnt)))"""
+    less = f"""aggregate(filter(p, q -> {_cell('q.id', part, width, salt)} = x.idx), x, (a, q) -> named_struct('idx', a.idx, 'cnt', a.cnt - q.cnt, 'id', a.id ^ q.id, 'chk', a.chk ^ {_check('q.id', salt)}))"""
+    step = f"""transform(array({pure}), p -> if(size(p) = 0, s, named_struct('c', filter(transform(s.c, x -> {less}), x -> x.cnt <> 0 or x.id <> 0 or x.chk <> 0), 'ids', concat(s.ids, p))))[0]"""
+    return f"aggregate(sequence(1, {ROUNDS}), named_struct('c', {cells}, 'ids', cast(array() as array<struct<id:bigint,cnt:int>>)), (s, r) -> if(size(s.c) = 0, s, {step}))"
+
+
+def _difference(a: int, b: int) -> str:
+    """The cells of side a less those of side b, without those that cancel out."""
+    return f"filter(transform(cells, x -> named_struct('idx', x.idx, 'cnt', x.c{a} - x.c{b}, 'id', x.i{a} ^ x.i{b}, 'chk', x.k{a} ^ x.k{b})), x -> x.cnt <> 0 or x.id <> 0 or x.chk <> 0)"
+
+
+def _print(side: int) -> Column:
+    """The cells of one side as text."""
+    own = F.array_sort(F.filter("cells", lambda c: (c[f"c{side}"] != 0) | (c[f"i{side}"] != 0)))
+    number = lambda c: F.concat(F.lpad(F.hex(c["idx"]), 2, "0"), F.lpad(F.hex(c[f"c{side}"]), 2, "0"), F.lpad(F.hex(c[f"i{side}"]), 16, "0"), F.lpad(F.hex(c[f"k{side}"]), 4, "0"))
+    return F.concat(F.lpad(F.hex("shard"), 4, "0"), F.array_join(F.transform(own, number), ""))
+
+
+def _numbered(units: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and d, the digest, of every element of the units; rows of a null unit stay, with a null d."""
+    hashed = units.select(*keys, F.when(F.col("_unit").isNotNull(), F.xxhash64("_unit")).alias("_h"))
+    counted = hashed.groupBy(*keys, "_h").agg(F.count("*").cast("int").alias("_c")).withColumn("_o", F.explode(F.sequence(F.lit(1), F.col("_c"))))
+    return counted.select(*keys, F.when(F.col("_h").isNotNull(), F.xxhash64("_h", "_o")).alias("d"))
+
+
+def _cells(sent: DataFrame, keys: list[str], sides: int, width: int, salt: int) -> DataFrame:
+    """keys, shard and cells of the elements (keys, shard, side, d): one row for each shard."""
+    parts = sent.select(*keys, "shard", "side", "d", F.expr(_check("d", salt)).alias("chk"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("_part"))
+    parts = parts.select(*keys, "shard", "side", "d", "chk", F.expr(_cell("d", "_part", width, salt)).alias("idx"))
+    of = lambda i, c: F.when(F.col("side") == i, c).otherwise(0)
+    sums = [x for i in range(sides) for x in (F.sum(of(i, 1)).cast("int").alias(f"c{i}"), F.bit_xor(of(i, F.col("d"))).alias(f"i{i}"), F.bit_xor(of(i, F.col("chk"))).alias(f"k{i}"))]
+    summed = parts.groupBy(*keys, "shard", "idx").agg(*sums)
+    return summed.groupBy(*keys, "shard").agg(F.collect_list(F.struct("idx", *(f"{x}{i}" for i in range(sides) for x in "cik"))).alias("cells"))
+
+
+def _compare(documents: DataFrame, unit_words: int) -> DataFrame:
+    """doc_id, meta (next_id and sizes), print_0, print_1 and for both pairs the digests found and the shards that failed."""
+    ordered = with_next(documents).withColumn("n0", F.size(_units(F.col("text"), unit_words)))
+    own = ordered.select("*", F.lead("doc_id").over(_in_order()).alias("next_id"), F.lead("n0").over(_in_order()).alias("n2"), _edit(F.col("text"), F.col("next_text")).alias("edited")).drop("next_text")
+    own = own.withColumn("n1", F.size(_units(F.col("edited"), unit_words)))
+    own = own.select("*", *(_shards(F.col(f"n{i}")).alias(f"s{i}") for i in range(3))).withColumn("mode", F.when(F.col("s1") == F.col("s0"), 1).otherwise(0) + F.when(F.col("s2") <= F.col("s0"), 2).otherwise(0))
+    before = [F.lag(c).over(_in_order()).alias(f"before_{c}") for c in ("doc_id", "s0", "mode")]
+    own = own.select("*", *before)
+    meta = F.struct("next_id", F.length("text").cast("bigint").alias("n_chars"), F.unhex(F.sha2("edited", 256)).alias("edited_sha256"), "n0", "n1", "n2")
+    first = F.col("_copy") == 0
+    kinds = F.array(
+        F.struct(F.lit(0).alias("kind"), _units(F.col("text"), unit_words).alias("u"), F.lit(None).alias("meta")),
+        F.struct(F.lit(1).alias("kind"), F.when(first, _units(F.col("edited"), unit_words)).alias("u"), F.lit(None).alias("meta")),
+        F.struct(F.lit(2).alias("kind"), F.when(first, F.array(F.lit(None).cast("string"))).alias("u"), meta.alias("meta")),
     )
-    return done.select(*keys, *(f"print_{k}" for k in prints), *(x for a, b in pairs for x in (f"d_{a}_{b}", f"failed_{a}_{b}")), *((F.col(f"_n{a}") + F.col(f"_n{b}")).alias(f"n_{a}_{b}") for a, b in pairs))
-
-
-def _edited(rows: DataFrame) -> DataFrame:
-    n = F.length("text")
-    take = F.floor(n / 4).cast("int")
-    return rows.withColumn("n_chars", n.cast("bigint")).withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - take), F.substring(F.col("next_text"), F.lit(1), take)))
-
-
-def _likeness(pair: str) -> Column:
-    n, d = F.col(f"n_{pair}"), F.least(F.col(f"d_{pair}"), F.col(f"n_{pair}").cast("double"))
-    return F.when(n == 0, 1.0).otherwise((n - d) / (n + d))
+    place = ["bucket", "_copy", "doc_id", "s0", "s1", "s2", "mode", "before_doc_id", "before_s0", "before_mode"]
+    units = own.select(*place, F.explode(kinds).alias("_k")).select(*place, "_k.kind", "_k.meta", F.explode("_k.u").alias("_unit"))
+    elements = _numbered(units, [*place, "kind", "meta"])
+    send = lambda when, owner, mode, t, side, s: F.when(when, F.struct(F.col(owner).alias("owner"), F.col(mode).alias("mode"), F.lit(t).alias("t"), F.lit(side).alias("side"), s.cast("int").alias("s")))
+    text, edited = first & (F.col("kind") == 0), first & (F.col("kind") == 1)
+    following = (F.col("kind") == 0) & F.col("before_doc_id").isNotNull()
+    same, larger = F.col("s0") == F.col("s1"), F.greatest("s0", "s1")
+    targets = [
+        send(first & (F.col("kind") != 1), "doc_id", "mode", ALL, 0, F.col("s0")),
+        send(text & ~same, "doc_id", "mode", WITH_EDITED, 0, larger),
+        send(text & (F.col("s2") > F.col("s0")), "doc_id", "mode", WITH_NEXT, 0, F.col("s2")),
+        send(edited & same, "doc_id", "mode", ALL, 1, F.col("s0")),
+        send(edited & ~same, "doc_id", "mode", EDITED, 1, F.col("s1")),
+        send(edited & ~same, "doc_id", "mode", WITH_EDITED, 1, larger),
+        send(following & (F.col("s0") <= F.col("before_s0")), "before_doc_id", "before_mode", ALL, 2, F.col("before_s0")),
+        send(following & (F.col("s0") > F.col("before_s0")), "before_doc_id", "before_mode", WITH_NEXT, 2, F.col("s0")),
+    ]
+    sent = elements.select("bucket", "meta", "d", F.explode(F.array_compact(F.array(*targets))).alias("_t"))
+    sent = sent.select("bucket", "meta", "d", "_t.*").withColumn("shard", F.col("d").bitwiseAND(F.col("s") - 1).cast("int"))
+    shards = _cells(sent, ["bucket", "owner", "mode", "t", "s", "meta"], 3, PART, 0)
+    t, mode, real = F.col("t"), F.col("mode"), F.col("shard").isNotNull()
+    with_edited = real & ((t == WITH_EDITED) | ((t == ALL) & (mode.bitwiseAND(1) != 0)))
+    with_next_ = real & ((t == WITH_NEXT) | ((t == ALL) & (mode.bitwiseAND(2) != 0)))
+    holds = lambda side: F.exists("cells", lambda c: (c[f"c{side}"] != 0) | (c[f"i{side}"] != 0))
+    shards = shards.select(
+        "bucket", "owner", "meta", "s", "shard",
+        F.when(real & (t == ALL) & holds(0), F.struct("shard", _print(0).alias("x"))).alias("_p0"),
+        F.when(real & t.isin(ALL, EDITED) & holds(1), F.struct("shard", _print(1).alias("x"))).alias("_p1"),
+        F.when(with_edited, F.expr(_peeled(_difference(0, 1), PART, 0))).alias("_r1"),
+        F.when(with_next_, F.expr(_peeled(_difference(0, 2), PART, 0))).alias("_r2"),
+    )
+    joined = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(c)), lambda x: x["x"]), "")
+    out = [F.max("meta").alias("meta"), joined("_p0").alias("print_0"), joined("_p1").alias("print_1")]
+    for r in ("_r1", "_r2"):
+        ok = F.size(f"{r}.c") == 0
+        out += [F.collect_list(F.when(ok & (F.size(f"{r}.ids") > 0), F.col(f"{r}.ids"))).alias(f"ids{r}"), F.collect_list(F.when(~ok, F.struct("s", "shard"))).alias(f"failed{r}")]
+    return shards.groupBy("bucket", "owner").agg(*out).withColumnRenamed("owner", "doc_id")
 
 
-def fingerprints(documents: DataFrame, unit_words: int = UNIT_WORDS) -> DataFrame:
-    """The op7 contract: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    ordered = _edited(with_next(documents))
-    rows = ordered.select("bucket", "doc_id", "next_id", "n_chars", F.unhex(F.sha2("edited", 256)).alias("edited_sha256"), "text", "edited", "next_text")
-    keys = ["bucket", "doc_id", "next_id", "n_chars", "edited_sha256"]
-    first = stage(sketch_and_compare(rows, keys, ["text", "edited", "next_text"], [(0, 1), (0, 2)], [0, 1], PART, unit_words), "fingerprints")
-    todo = first.where("failed_0_1 or failed_0_2").select("doc_id", F.array_compact(F.array(F.when(F.col("failed_0_1"), 1), F.when(F.col("failed_0_2"), 2))).alias("_pairs"))
-    again, width = None, PART
-    for attempt in range(RETRIES):
+def _again(documents: DataFrame, todo: DataFrame, unit_words: int, width: int, salt: int) -> DataFrame:
+    """doc_id, pair, shard, s and what peeling gave of the shards in todo (doc_id, next_id, pair, s, shards), from texts of their documents alone."""
+    docs = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    ids = todo.select("doc_id").unionByName(todo.select(F.col("next_id").alias("doc_id"))).distinct()
+    texts = keep_ids(docs, stage(ids, "ids"), "doc_id").dropDuplicates(["doc_id"])
+    rows = todo.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("next_id"), F.col("text").alias("next_text")), "next_id")
+    rows = rows.withColumn("other", F.when(F.col("pair") == 1, _edit(F.col("text"), F.col("next_text"))).otherwise(F.col("next_text")))
+    keys = ["doc_id", "next_id", "pair", "s"]
+    sides = F.array(*(F.struct(F.lit(i).alias("side"), _units(F.col(c), unit_words).alias("u")) for i, c in enumerate(("text", "other"))))
+    units = rows.select(*keys, "shards", F.explode(sides).alias("_k")).select(*keys, "shards", "_k.side", F.explode("_k.u").alias("_unit"))
+    elements = _numbered(units, [*keys, "shards", "side"]).withColumn("shard", F.col("d").bitwiseAND(F.col("s") - 1).cast("int"))
+    cells = _cells(elements.where(F.array_contains("shards", F.col("shard"))), keys, 2, width, salt)
+    return cells.select(*keys, "shard", F.expr(_peeled(_difference(0, 1), width, salt)).alias("_r")).select(*keys, "shard", "_r.ids", (F.size("_r.c") > 0).alias("failed"))
+
+
+def _settled(documents: DataFrame, unit_words: int) -> tuple[DataFrame, DataFrame | None]:
+    """The comparison of all documents, and of what failed there the digests by shard from the retries (doc_id, pair, ids)."""
+    first = stage(_compare(documents, unit_words), "fingerprints")
+    failed = [first.where(F.size(f"failed_r{i}") > 0).select("doc_id", "meta.next_id", F.lit(i).alias("pair"), F.explode(f"failed_r{i}").alias("_f")) for i in (1, 2)]
+    gather = lambda df: df.groupBy("doc_id", "next_id", "pair", "s").agg(F.sort_array(F.collect_list("shard")).alias("shards"))
+    todo = stage(gather(reduce(DataFrame.unionByName, failed).select("doc_id", "next_id", "pair", "_f.s", "_f.shard")), "todo")
+    done, width = [], PART
+    for salt in range(1, RETRIES + 1):
         if not todo.head(1):
             break
         width *= 4
-        pairs = rows.select("bucket", "doc_id", "text", "edited", "next_text").join(sized(todo), "doc_id").withColumn("pair", F.explode("_pairs"))
-        pairs = pairs.select("bucket", "doc_id", "pair", "text", F.when(F.col("pair") == 1, F.col("edited")).otherwise(F.col("next_text")).alias("other"))
-        found = stage(sketch_and_compare(pairs, ["bucket", "doc_id", "pair"], ["text", "other"], [(0, 1)], [], width, unit_words, attempt + 1), f"again{attempt}")
-        better = found.where("not failed_0_1")
-        again = better if again is None else again.unionByName(better)
-        todo = found.where("failed_0_1").groupBy("doc_id").agg(F.collect_list("pair").alias("_pairs"))
+        found = stage(_again(documents, todo, unit_words, width, salt), f"again{salt}")
+        done.append(found.where("not failed").select("doc_id", "pair", "ids"))
+        todo = stage(gather(found.where("failed")), f"todo{salt}")
     else:
         if todo.head(1):
-            raise RuntimeError(f"{todo.count()} texts have pairs that did not peel in {RETRIES} retries")
-    near = first.select("doc_id", "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"), F.col("print_0").alias("fingerprint"), F.col("print_1").alias("edited_fingerprint"), _likeness("0_1").alias("near_edited"), _likeness("0_2").alias("near_next"))
+            raise RuntimeError(f"{todo.count()} pairs did not peel in {RETRIES} retries")
+    return first, reduce(DataFrame.unionByName, done) if done else None
+
+
+def fingerprints(documents: DataFrame, unit_words: int = UNIT_WORDS) -> DataFrame:
+    """The op7 contract: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+    if not documents.where(F.col("doc_id").isNotNull()).head(1):
+        return documents.sparkSession.createDataFrame([], "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    first, again = _settled(documents, unit_words)
+    size = lambda c: F.aggregate(F.transform(c, F.size), F.lit(0), lambda a, x: a + x)
+    near = first.select("doc_id", "meta", "print_0", "print_1", size("ids_r1").alias("d1"), size("ids_r2").alias("d2"))
+    if again is not None:
+        of = lambda k: F.sum(F.when(F.col("pair") == k, F.size("ids")).otherwise(0)).alias(f"more{k}")
+        near = near.join(sized(stage(again.groupBy("doc_id").agg(of(1), of(2)), "more")), "doc_id", "left")
+        near = near.select("doc_id", "meta", "print_0", "print_1", *((F.col(f"d{k}") + F.coalesce(f"more{k}", F.lit(0))).alias(f"d{k}") for k in (1, 2)))
+    n = [F.col("meta.n0") + F.col(f"meta.n{i}") for i in (1, 2)]
+    likeness = [F.when(n[i] == 0, 1.0).otherwise((n[i] - F.col(f"d{i + 1}")) / (n[i] + F.col(f"d{i + 1}"))) for i in (0, 1)]
+    return near.select("doc_id", "meta.n_chars", F.lower(F.hex("meta.edited_sha256")).alias("edited_sha256"), F.col("print_0").alias("fingerprint"), F.col("print_1").alias("edited_fingerprint"), likeness[0].alias("near_edited"), likeness[1].alias("near_next"))
+
+
+def differences(documents: DataFrame, unit_words: int = UNIT_WORDS) -> DataFrame:
+    """doc_id, pair (edited or next), digest and side (1: in the text alone, -1: in the other alone) of every digest that peeling recovered."""
+    first, again = _settled(documents, unit_words)
+    rows = [first.select("doc_id", F.lit(i).alias("pair"), F.explode(F.flatten(f"ids_r{i}")).alias("_x")) for i in (1, 2)]
     if again is not None:
-        new = again.groupBy("doc_id").agg(F.max(F.when(F.col("pair") == 1, _likeness("0_1"))).alias("_e"), F.max(F.when(F.col("pair") == 2, _likeness("0_1"))).alias("_x"))
-        near = near.join(sized(new), "doc_id", "left").withColumn("near_edited", F.coalesce("_e", "near_edited")).withColumn("near_next", F.coalesce("_x", "near_next")).drop("_e", "_x")
-    return near
+        rows.append(again.select("doc_id", "pair", F.explode("ids").alias("_x")))
+    return reduce(DataFrame.unionByName, rows).select("doc_id", F.when(F.col("pair") == 1, "edited").otherwise("next").alias("pair"), F.col("_x.id").alias("digest"), F.col("_x.cnt").alias("side"))
