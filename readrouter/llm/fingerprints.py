@@ -102,9 +102,12 @@ def _cell(digest: str, part: str, width: int, salt: int) -> str:
 def _peeled(cells: str, width: int, salt: int) -> str:
     """struct<c: cells left, ids: digests found, each with its side as 1 or -1> of the cells of a difference."""
     part = f"cast(x.idx div {width} as int)"
-    pure = f"""array_distinct(transform(filter(s.c, x -> abs(x.cnt) = 1 and x.chk = {_check('x.id', salt)} and {_cell('x.id', part, width, salt)} = x.idx), x -> named_struct('id', x.id, 'cnt', x.cnt)))"""
-    less = f"""aggregate(filter(p, q -> {_cell('q.id', part, width, salt)} = x.idx), x, (a, q) -> named_struct('idx', a.idx, 'cnt', a.cnt - q.cnt, 'id', a.id ^ q.id, 'chk', a.chk ^ {_check('q.id', salt)}))"""
-    step = f"""transform(array({pure}), p -> if(size(p) = 0, s, named_struct('c', filter(transform(s.c, x -> {less}), x -> x.cnt <> 0 or x.id <> 0 or x.chk <> 0), 'ids', concat(s.ids, p))))[0]"""
+    places = ", ".join(f"'p{i}', {_cell('x.id', str(i), width, salt)}" for i in range(3))
+    known = f"filter(s.c, x -> abs(x.cnt) = 1 and x.chk = {_check('x.id', salt)} and {_cell('x.id', part, width, salt)} = x.idx)"
+    # The cells of a digest are found once, when it is; a cell then only compares numbers.
+    pure = f"transform(array_distinct(transform({known}, x -> named_struct('id', x.id, 'cnt', x.cnt, 'chk', x.chk))), x -> named_struct('id', x.id, 'cnt', x.cnt, 'chk', x.chk, {places}))"
+    less = "aggregate(filter(p, q -> q.p0 = x.idx or q.p1 = x.idx or q.p2 = x.idx), x, (a, q) -> named_struct('idx', a.idx, 'cnt', a.cnt - q.cnt, 'id', a.id ^ q.id, 'chk', a.chk ^ q.chk))"
+    step = f"transform(array({pure}), p -> if(size(p) = 0, s, named_struct('c', filter(transform(s.c, x -> {less}), x -> x.cnt <> 0 or x.id <> 0 or x.chk <> 0), 'ids', concat(s.ids, transform(p, q -> named_struct('id', q.id, 'cnt', q.cnt))))))[0]"
     return f"aggregate(sequence(1, {ROUNDS}), named_struct('c', {cells}, 'ids', cast(array() as array<struct<id:bigint,cnt:int>>)), (s, r) -> if(size(s.c) = 0, s, {step}))"
 
 
