@@ -117,27 +117,29 @@ def _difference(a: int, b: int) -> str:
 
 
 def _print(side: int) -> Column:
-    """The cells of one side as text."""
-    own = F.array_sort(F.filter("cells", lambda c: (c[f"c{side}"] != 0) | (c[f"i{side}"] != 0)))
-    number = lambda c: F.concat(F.lpad(F.hex(c["idx"]), 2, "0"), F.lpad(F.hex(c[f"c{side}"]), 2, "0"), F.lpad(F.hex(c[f"i{side}"]), 16, "0"), F.lpad(F.hex(c[f"k{side}"]), 4, "0"))
-    return F.concat(F.lpad(F.hex("shard"), 4, "0"), F.array_join(F.transform(own, number), ""))
+    """The cells of one side as text: place, count and check in 8 digits, and the digests in 16, after a digit that keeps their zeros."""
+    own = F.filter("cells", lambda c: (c[f"c{side}"] != 0) | (c[f"i{side}"] != 0))
+    small = lambda c: F.shiftleft(F.lit(1).cast("bigint"), 36) + F.shiftleft(c["idx"].cast("bigint"), 24) + F.shiftleft(c[f"c{side}"].cast("bigint"), 16) + c[f"k{side}"]
+    return F.concat(F.lpad(F.hex("shard"), 4, "0"), F.array_join(F.transform(own, lambda c: F.concat(F.hex(small(c)), F.lpad(F.hex(c[f"i{side}"]), 16, "0"))), ""))
 
 
 def _numbered(units: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and d, the digest, of every element of the units; rows of a null unit stay, with a null d."""
-    hashed = units.select(*keys, F.when(F.col("_unit").isNotNull(), F.xxhash64("_unit")).alias("_h"))
-    counted = hashed.groupBy(*keys, "_h").agg(F.count("*").cast("int").alias("_c")).withColumn("_o", F.explode(F.sequence(F.lit(1), F.col("_c"))))
-    return counted.select(*keys, F.when(F.col("_h").isNotNull(), F.xxhash64("_h", "_o")).alias("d"))
+    """keys, d, the digest, and in, a bit for each of two sides that hold it, of every element; rows of a null unit stay, with a null d."""
+    hashed = units.select(*keys, "side", F.when(F.col("_unit").isNotNull(), F.xxhash64("_unit")).alias("_h"))
+    of = lambda side: F.sum(F.when(F.col("side") == side, 1).otherwise(0)).cast("int").alias(f"_c{side}")
+    counted = hashed.groupBy(*keys, "_h").agg(of(0), of(1)).withColumn("_o", F.explode(F.sequence(F.lit(1), F.greatest("_c0", "_c1", F.lit(1)))))
+    held = (F.when(F.col("_o") <= F.col("_c0"), 1).otherwise(0) + F.when(F.col("_o") <= F.col("_c1"), 2).otherwise(0)).alias("in")
+    return counted.select(*keys, held, F.when(F.col("_h").isNotNull(), F.xxhash64("_h", "_o")).alias("d"))
 
 
 def _cells(sent: DataFrame, keys: list[str], sides: int, width: int, salt: int) -> DataFrame:
-    """keys, shard and cells of the elements (keys, shard, side, d): one row for each shard."""
-    parts = sent.select(*keys, "shard", "side", "d", F.expr(_check("d", salt)).alias("chk"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("_part"))
-    parts = parts.select(*keys, "shard", "side", "d", "chk", F.expr(_cell("d", "_part", width, salt)).alias("idx"))
-    of = lambda i, c: F.when(F.col("side") == i, c).otherwise(0)
+    """keys, shard and cells, in order, of the elements (keys, shard, in, d), in being a bit for each side: one row for each shard."""
+    parts = sent.select(*keys, "shard", "in", "d", F.expr(_check("d", salt)).alias("chk"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("_part"))
+    parts = parts.select(*keys, "shard", "in", "d", "chk", F.expr(_cell("d", "_part", width, salt)).alias("idx"))
+    of = lambda i, c: F.when(F.col("in").bitwiseAND(1 << i) != 0, c).otherwise(0)
     sums = [x for i in range(sides) for x in (F.sum(of(i, 1)).cast("int").alias(f"c{i}"), F.bit_xor(of(i, F.col("d"))).alias(f"i{i}"), F.bit_xor(of(i, F.col("chk"))).alias(f"k{i}"))]
     summed = parts.groupBy(*keys, "shard", "idx").agg(*sums)
-    return summed.groupBy(*keys, "shard").agg(F.collect_list(F.struct("idx", *(f"{x}{i}" for i in range(sides) for x in "cik"))).alias("cells"))
+    return summed.groupBy(*keys, "shard").agg(F.sort_array(F.collect_list(F.struct("idx", *(f"{x}{i}" for i in range(sides) for x in "cik")))).alias("cells"))
 
 
 def _compare(documents: DataFrame, unit_words: int) -> DataFrame:
@@ -151,30 +153,37 @@ def _compare(documents: DataFrame, unit_words: int) -> DataFrame:
     meta = F.struct("next_id", F.length("text").cast("bigint").alias("n_chars"), F.unhex(F.sha2("edited", 256)).alias("edited_sha256"), "n0", "n1", "n2")
     first = F.col("_copy") == 0
     kinds = F.array(
-        F.struct(F.lit(0).alias("kind"), _units(F.col("text"), unit_words).alias("u"), F.lit(None).alias("meta")),
-        F.struct(F.lit(1).alias("kind"), F.when(first, _units(F.col("edited"), unit_words)).alias("u"), F.lit(None).alias("meta")),
-        F.struct(F.lit(2).alias("kind"), F.when(first, F.array(F.lit(None).cast("string"))).alias("u"), meta.alias("meta")),
+        F.struct(F.lit(0).alias("side"), _units(F.col("text"), unit_words).alias("u"), F.lit(None).alias("meta")),
+        F.struct(F.lit(1).alias("side"), F.when(first, _units(F.col("edited"), unit_words)).alias("u"), F.lit(None).alias("meta")),
+        F.struct(F.lit(2).alias("side"), F.when(first, F.array(F.lit(None).cast("string"))).alias("u"), meta.alias("meta")),
     )
-    place = ["bucket", "_copy", "doc_id", "s0", "s1", "s2", "mode", "before_doc_id", "before_s0", "before_mode"]
-    units = own.select(*place, F.explode(kinds).alias("_k")).select(*place, "_k.kind", "_k.meta", F.explode("_k.u").alias("_unit"))
-    elements = _numbered(units, [*place, "kind", "meta"])
-    send = lambda when, owner, mode, t, side, s: F.when(when, F.struct(F.col(owner).alias("owner"), F.col(mode).alias("mode"), F.lit(t).alias("t"), F.lit(side).alias("side"), s.cast("int").alias("s")))
-    text, edited = first & (F.col("kind") == 0), first & (F.col("kind") == 1)
-    following = (F.col("kind") == 0) & F.col("before_doc_id").isNotNull()
-    same, larger = F.col("s0") == F.col("s1"), F.greatest("s0", "s1")
+    # The numbers of shards are powers of two of five bits each; with both modes they travel as one number.
+    log = lambda c: F.round(F.log2(F.coalesce(c, F.lit(1)))).cast("bigint")
+    sizes = F.coalesce("before_mode", F.lit(0)).cast("bigint") * 4 + F.col("mode")
+    for c in ("s0", "s1", "s2", "before_s0"):
+        sizes = sizes * 32 + log(F.col(c))
+    place = ["bucket", "_copy", "doc_id", "before_doc_id", "sizes"]
+    units = own.withColumn("sizes", sizes).select(*place, F.explode(kinds).alias("_k")).select(*place, "_k.side", "_k.meta", F.explode("_k.u").alias("_unit"))
+    elements = _numbered(units, [*place, "meta"])
+    s0, s1, s2, before_s0, mode, before_mode = (F.shiftright("sizes", by).bitwiseAND((1 << bits) - 1).cast("int") for by, bits in ((15, 5), (10, 5), (5, 5), (0, 5), (20, 2), (22, 2)))
+
+    def send(when: Column, owner: str, mode: Column, t: int, held: Column, s: Column) -> Column:
+        return F.when(when, F.struct(F.col(owner).alias("owner"), (mode + 4 * t + 16 * s).cast("int").alias("what"), held.cast("int").alias("in")))
+
+    held, of_text, of_edited, meta_row = F.col("in"), F.col("in").bitwiseAND(1), F.col("in").bitwiseAND(2), F.col("d").isNull()
+    following = (of_text != 0) & F.col("before_doc_id").isNotNull()
     targets = [
-        send(first & (F.col("kind") != 1), "doc_id", "mode", ALL, 0, F.col("s0")),
-        send(text & ~same, "doc_id", "mode", WITH_EDITED, 0, larger),
-        send(text & (F.col("s2") > F.col("s0")), "doc_id", "mode", WITH_NEXT, 0, F.col("s2")),
-        send(edited & same, "doc_id", "mode", ALL, 1, F.col("s0")),
-        send(edited & ~same, "doc_id", "mode", EDITED, 1, F.col("s1")),
-        send(edited & ~same, "doc_id", "mode", WITH_EDITED, 1, larger),
-        send(following & (F.col("s0") <= F.col("before_s0")), "before_doc_id", "before_mode", ALL, 2, F.col("before_s0")),
-        send(following & (F.col("s0") > F.col("before_s0")), "before_doc_id", "before_mode", WITH_NEXT, 2, F.col("s0")),
+        send(first & ((s0 == s1) | (of_text != 0) | meta_row), "doc_id", mode, ALL, F.when(s0 == s1, held).otherwise(of_text), s0),
+        send(first & (s2 > s0) & (of_text != 0), "doc_id", mode, WITH_NEXT, of_text, s2),
+        send(first & (s0 != s1) & (of_edited != 0), "doc_id", mode, EDITED, of_edited, s1),
+        send(first & (s0 != s1) & (held != 0), "doc_id", mode, WITH_EDITED, held, F.greatest(s0, s1)),
+        send(following & (s0 <= before_s0), "before_doc_id", before_mode, ALL, F.lit(4), before_s0),
+        send(following & (s0 > before_s0), "before_doc_id", before_mode, WITH_NEXT, F.lit(4), s0),
     ]
     sent = elements.select("bucket", "meta", "d", F.explode(F.array_compact(F.array(*targets))).alias("_t"))
-    sent = sent.select("bucket", "meta", "d", "_t.*").withColumn("shard", F.col("d").bitwiseAND(F.col("s") - 1).cast("int"))
-    shards = _cells(sent, ["bucket", "owner", "mode", "t", "s", "meta"], 3, PART, 0)
+    sent = sent.select("bucket", "meta", "d", "_t.*").withColumn("shard", F.col("d").bitwiseAND(F.expr("shiftleft(1L, shiftright(what, 4))") - 1).cast("int"))
+    shards = _cells(sent, ["bucket", "owner", "what", "meta"], 3, PART, 0)
+    shards = shards.select("*", F.shiftright("what", 2).bitwiseAND(3).alias("t"), F.col("what").bitwiseAND(3).alias("mode"), F.expr("shiftleft(1, shiftright(what, 4))").alias("s"))
     t, mode, real = F.col("t"), F.col("mode"), F.col("shard").isNotNull()
     with_edited = real & ((t == WITH_EDITED) | ((t == ALL) & (mode.bitwiseAND(1) != 0)))
     with_next_ = real & ((t == WITH_NEXT) | ((t == ALL) & (mode.bitwiseAND(2) != 0)))
@@ -204,7 +213,7 @@ def _again(documents: DataFrame, todo: DataFrame, unit_words: int, width: int, s
     keys = ["doc_id", "next_id", "pair", "s"]
     sides = F.array(*(F.struct(F.lit(i).alias("side"), _units(F.col(c), unit_words).alias("u")) for i, c in enumerate(("text", "other"))))
     units = rows.select(*keys, "shards", F.explode(sides).alias("_k")).select(*keys, "shards", "_k.side", F.explode("_k.u").alias("_unit"))
-    elements = _numbered(units, [*keys, "shards", "side"]).withColumn("shard", F.col("d").bitwiseAND(F.col("s") - 1).cast("int"))
+    elements = _numbered(units, [*keys, "shards"]).withColumn("shard", F.col("d").bitwiseAND(F.col("s") - 1).cast("int"))
     cells = _cells(elements.where(F.array_contains("shards", F.col("shard"))), keys, 2, width, salt)
     return cells.select(*keys, "shard", F.expr(_peeled(_difference(0, 1), width, salt)).alias("_r")).select(*keys, "shard", "_r.ids", (F.size("_r.c") > 0).alias("failed"))
 
