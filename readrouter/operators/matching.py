@@ -54,36 +54,48 @@ def neighbourhood(barcodes: DataFrame, length: int, radius: int = 1) -> DataFram
 def nearest(barcodes: DataFrame, length: int, radius: int = 1, min_gap: int = 0) -> DataFrame:
     """key, match_ord, match_sample, match_lane, match_dist: the barcode each string belongs to; of equal distances the least order.
 
-    min_gap 1: strings as near to two barcodes belong to none.
+    With a min_gap, a string belongs to none if another barcode, even one beyond the radius, is less than min_gap farther than the nearest.
     """
     best = F.min(F.struct("distance", "ord", "sample_id", "lane"))
-    grouped = neighbourhood(barcodes, length, radius).groupBy("key")
-    found = grouped.agg(best.alias("best"), F.collect_list("distance").alias("_all"))
+    grouped = neighbourhood(barcodes, length, reach(radius, min_gap)).groupBy("key")
+    found = grouped.agg(best.alias("best"), F.collect_list("distance").alias("_all")).where(F.col("best.distance") <= radius)
     if min_gap:
-        found = found.where(F.size(F.filter("_all", lambda d: d == F.col("best.distance"))) == 1)
+        found = found.where(_stands_apart(F.col("_all"), min_gap))
     return found.select("key", F.col("best.ord").alias("match_ord"), F.col("best.sample_id").alias("match_sample"), F.col("best.lane").alias("match_lane"), F.col("best.distance").cast("bigint").alias("match_dist"))
 
 
+def reach(radius: int, min_gap: int) -> int:
+    """The distance up to which a runner-up matters."""
+    return radius + max(min_gap - 1, 0)
+
+
+def _stands_apart(distances, min_gap: int):
+    return F.size(F.filter(distances, lambda d: d < F.col("best.distance") + min_gap)) == 1
+
+
 def _small(side: DataFrame, entries: int) -> DataFrame:
     return F.broadcast(side) if entries <= BROADCAST_ENTRIES else side
 
 
 def match_reads(reads: DataFrame, barcodes: DataFrame, length: int, max_mismatches: int = 1, min_gap: int = 0) -> DataFrame:
     """reads (with a column key) and the match of each; null where none is near enough. barcodes: of barcode_map."""
-    entries = barcodes.count() * sum(comb(length, i) * (len(ALPHABET) - 1) ** i for i in range(max_mismatches + 1))
-    if max_mismatches <= 1 or entries <= BROADCAST_ENTRIES:
+    wide = reach(max_mismatches, min_gap)
+    entries = barcodes.count() * sum(comb(length, i) * (len(ALPHABET) - 1) ** i for i in range(wide + 1))
+    if wide <= 1 or entries <= BROADCAST_ENTRIES:
         side = nearest(barcodes, length, max_mismatches, min_gap)
         return reads.join(_small(side, entries), "key", "left")
+    if reads.isStreaming:
+        raise ValueError(f"{max_mismatches} mismatches with a gap of {min_gap} make {entries} strings of the sheet, too many to route a stream by")
     # Beyond that, distinct keys are compared with the sheet: its barcodes travel as one array, so no pair of a key and a barcode becomes a row.
     keys = reads.select("key").distinct()
     sheet = barcodes.agg(F.sort_array(F.collect_list(F.struct("ord", "barcode", "sample_id", "lane"))).alias("_sheet"))
     entries = sheet.first()["_sheet"]
     listed = F.array(*(F.struct(F.lit(e["ord"]).cast("bigint").alias("ord"), F.lit(e["barcode"]).alias("barcode"), F.lit(e["sample_id"]).alias("sample_id"), F.lit(e["lane"]).alias("lane")) for e in entries))
     scored = F.transform(listed, lambda e: F.struct(hamming(F.col("key"), e["barcode"], length).alias("distance"), e["ord"].alias("ord"), e["sample_id"].alias("sample_id"), e["lane"].alias("lane")))
-    near = keys.withColumn("_near", F.filter(scored, lambda e: e["distance"] <= max_mismatches)).withColumn("best", F.array_min("_near"))
+    near = keys.withColumn("_near", scored).withColumn("best", F.array_min("_near")).where(F.col("best.distance") <= max_mismatches)
     if min_gap:
-        near = near.where(F.size(F.filter("_near", lambda e: e["distance"] < F.col("best.distance") + min_gap)) == 1)
-    side = near.where(F.col("best").isNotNull()).select("key", F.col("best.ord").alias("match_ord"), F.col("best.sample_id").alias("match_sample"), F.col("best.lane").alias("match_lane"), F.col("best.distance").cast("bigint").alias("match_dist"))
+        near = near.where(_stands_apart(F.transform("_near", lambda e: e["distance"]), min_gap))
+    side = near.select("key", F.col("best.ord").alias("match_ord"), F.col("best.sample_id").alias("match_sample"), F.col("best.lane").alias("match_lane"), F.col("best.distance").cast("bigint").alias("match_dist"))
     return reads.join(side, "key", "left")
 
 
@@ -96,10 +108,10 @@ def orientation_scores(reads: DataFrame, samples: DataFrame, length1: int, lengt
     """Matched reads with a fitting lane for both orientations of the second index, in one pass over the reads."""
     from ..functions.bases import read_key
 
-    keyed = reads.withColumn("key", read_key(F.col("index1"), F.col("index2"), length1, length2))
+    keyed = reads.select("lane", read_key(F.col("index1"), F.col("index2"), length1, length2).alias("key"))
     for name, flip in (("forward", False), ("flipped", True)):
-        side = nearest(barcode_map(with_barcode(samples, flip)), length1 + length2, max_mismatches).select("key", F.col("match_lane").alias(f"_{name}"))
-        keyed = keyed.join(F.broadcast(side), "key", "left")
+        matched = match_reads(keyed, barcode_map(with_barcode(samples, flip)), length1 + length2, max_mismatches)
+        keyed = matched.withColumn(f"_{name}", F.col("match_lane")).drop("match_ord", "match_sample", "match_lane", "match_dist")
     fits = lambda name: F.coalesce(lane_fits(F.col(f"_{name}"), F.col("lane")), F.lit(False)).cast("bigint")
     return keyed.agg(F.coalesce(F.sum(fits("forward")), F.lit(0)).alias("score_forward"), F.coalesce(F.sum(fits("flipped")), F.lit(0)).alias("score_flipped"))
 

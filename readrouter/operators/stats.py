@@ -23,8 +23,9 @@ def match_totals(routed: DataFrame) -> DataFrame:
 
 
 def reads_per_lane(reads: DataFrame) -> DataFrame:
-    """Reads of each lane, and of all lanes at lane 0."""
-    return reads.rollup("lane").agg(F.count("*").alias("reads")).select(F.coalesce("lane", F.lit(0)).cast("bigint").alias("lane"), "reads")
+    """Reads of each lane, and of all lanes at lane 0; reads without a lane keep a null, and a lane 0 of its own is marked by all_lanes."""
+    counts = reads.rollup("lane").agg(F.count("*").alias("reads"), F.grouping("lane").alias("_all"))
+    return counts.select(F.when(F.col("_all") == 1, 0).otherwise(F.col("lane")).cast("bigint").alias("lane"), (F.col("_all") == 1).alias("all_lanes"), "reads")
 
 
 def first_reads(reads: DataFrame, n: int = 200_000) -> DataFrame:
@@ -80,5 +81,8 @@ def telemetry_summary(samples: DataFrame, key: str, value: str) -> DataFrame:
 
 def folder_sizes(spark, folder: str) -> DataFrame:
     """Bytes under a folder, from the listing alone."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return folder_bytes(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder))
+
+
+def folder_bytes(files: DataFrame) -> DataFrame:
     return files.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.count("*").alias("files"))

@@ -32,14 +32,14 @@ def _complement(x: str) -> str:
 
 
 #: The brute-force match: every read with every distinct barcode.
-def _matched(reads: str = "reads", samples: str = "samples", most: int = 1, length1: int = 10, length2: int = 8, gap: bool = False, barcode: str = "index1 || index2") -> str:
+def _matched(reads: str = "reads", samples: str = "samples", most: int = 1, length1: int = 10, length2: int = 8, gap: int = 0, barcode: str = "index1 || index2") -> str:
     key = f"rpad(index1, {length1}, 'N')" + (f" || rpad(index2, {length2}, 'N')" if length2 else "")
     return f""",
 bc AS (SELECT {barcode} AS barcode, min(ord) AS ord, arg_max(sample_id, ord) AS sample_id, arg_max(lane, ord) AS lane FROM {samples} GROUP BY 1),
 keyed AS (SELECT *, {key} AS key FROM {reads}),
 scored AS (SELECT keyed.key, bc.ord, bc.sample_id, bc.lane AS slane, hamming(keyed.key, bc.barcode) AS d FROM (SELECT DISTINCT key FROM keyed) keyed, bc),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY d, ord) AS rn, min(d) OVER (PARTITION BY key) AS low FROM scored),
-best AS (SELECT key, ord, sample_id, slane, d FROM ranked WHERE rn = 1 AND d <= {most}{" AND (SELECT count(*) FROM scored s WHERE s.key = ranked.key AND s.d = ranked.low) = 1" if gap else ""}),
+best AS (SELECT key, ord, sample_id, slane, d FROM ranked WHERE rn = 1 AND d <= {most}{f" AND (SELECT count(*) FROM scored s WHERE s.key = ranked.key AND s.d < ranked.low + {gap}) = 1" if gap else ""}),
 matched AS (SELECT keyed.*, best.ord AS match_ord, best.sample_id AS match_sample, best.slane AS match_lane, CAST(best.d AS BIGINT) AS match_dist FROM keyed LEFT JOIN best ON keyed.key = best.key),
 routed AS (SELECT *, {" OR ".join(f"contains(sequence, '{a}')" for a in B.ADAPTERS)} AS has_adapter FROM matched),
 routes AS (SELECT *, CASE WHEN has_adapter THEN 'adapter_contamination' WHEN match_sample IS NOT NULL AND (match_lane = 0 OR match_lane = lane) THEN match_sample ELSE 'undetermined' END AS route FROM routed)
@@ -175,11 +175,16 @@ def barcode_match_dense(spark, d):
     return _match(spark, d, True).select(*MATCH_COLUMNS)
 
 
-@query(f"x AS (SELECT 1) {_matched('dense_reads', 'dense_samples', 1, 4, 0, True)} SELECT read_id, match_ord, match_sample, match_dist FROM matched")
+@query(f"x AS (SELECT 1) {_matched('dense_reads', 'dense_samples', 1, 4, 0, 1)} SELECT read_id, match_ord, match_sample, match_dist FROM matched")
 def min_gap_match(spark, d):
     return _match(spark, d, True, 1, 1).select(*MATCH_COLUMNS)
 
 
+@query(f"x AS (SELECT 1) {_matched('dense_reads', 'dense_samples', 1, 4, 0, 2)} SELECT read_id, match_ord, match_sample, match_dist FROM matched")
+def min_gap2_match(spark, d):
+    return _match(spark, d, True, 1, 2).select(*MATCH_COLUMNS)
+
+
 @query(f"x AS (SELECT 1) {_matched(most=2)} SELECT read_id, match_ord, match_sample, match_dist FROM matched")
 def barcode_match_k2(spark, d):
     return _match(spark, d, most=2).select(*MATCH_COLUMNS)
@@ -232,13 +237,13 @@ def orientation_choice(spark, d):
     return M.choose_orientation(M.orientation_scores(D.reads(spark, d), sheet, 10, 8))
 
 
-@query(f"""f AS (SELECT * FROM reads ORDER BY lane, tile, cluster LIMIT 10000),
+@query(f"""f AS (SELECT * FROM reads ORDER BY lane, tile, cluster LIMIT 200000),
 k AS (SELECT 'I1' AS kind, index1 AS key FROM f WHERE index1 <> '' UNION ALL SELECT 'I2', index2 FROM f WHERE index2 <> '' UNION ALL SELECT 'I1+I2', index1 || index2 FROM f UNION ALL SELECT 'I1+rc(I2)', index1 || {_complement('index2')} FROM f),
 c AS (SELECT kind, key, CAST(count(*) AS BIGINT) AS n FROM k GROUP BY kind, key),
 r AS (SELECT kind, key, n, round(100.0::DOUBLE * n / sum(n) OVER (PARTITION BY kind), 6) AS pct, CAST(row_number() OVER (PARTITION BY kind ORDER BY n DESC, key) AS BIGINT) AS rank FROM c)
 SELECT * FROM r WHERE rank <= 50""")
 def barcode_topk(spark, d):
-    return S.barcode_histogram(D.reads(spark, d), 10_000)
+    return S.barcode_histogram(D.reads(spark, d))
 
 
 @query("SELECT ord, sample_id, index1 || index2 AS barcode FROM samples ORDER BY ord LIMIT 20")
@@ -246,7 +251,7 @@ def first_barcodes(spark, d):
     return S.first_barcodes(D.samples(spark, d)).select("ord", "sample_id", F.concat("index1", "index2").alias("barcode"))
 
 
-@query("SELECT lane, CAST(count(*) AS BIGINT) AS reads FROM reads GROUP BY lane UNION ALL SELECT 0, CAST(count(*) AS BIGINT) FROM reads")
+@query("SELECT lane, false AS all_lanes, CAST(count(*) AS BIGINT) AS reads FROM reads GROUP BY lane UNION ALL SELECT 0, true, CAST(count(*) AS BIGINT) FROM reads")
 def reads_per_lane(spark, d):
     return S.reads_per_lane(D.reads(spark, d))
 

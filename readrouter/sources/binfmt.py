@@ -88,6 +88,18 @@ def unpack_block(packed: bytes, clusters: int, values: np.ndarray, path: str = "
     return (values[halves >> 2] << 2) | (halves & 3)
 
 
+def read_count(path: str) -> int:
+    """The cluster count of a gzipped file of one cycle, from its beginning alone."""
+    try:
+        with gzip.open(path, "rb") as f:
+            head = f.read(4)
+    except (OSError, EOFError, zlib.error) as e:
+        raise FormatError(f"{path}: can't be inflated: {e}") from e
+    if len(head) < 4:
+        raise FormatError(f"{path}: no cluster count")
+    return struct.unpack("<I", head)[0]
+
+
 def read_calls(data: bytes, path: str = "") -> np.ndarray:
     """Base-call bytes of a gzipped file of one cycle: a count, then a byte for each cluster."""
     try:

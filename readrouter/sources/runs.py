@@ -1,11 +1,11 @@
 """Run folders as a Spark data source: spark.read.format("base_calls").load(folder).
 
-A partition is one tile of a lane (or some tiles): every cycle's block of the tile is read, masked by the filter before it is decoded,
-turned from cycles to reads and sent as Arrow batches. Planning reads only headers and tile lists. The folder must be a path that driver
-and executors share.
+A partition is a range of clusters of one tile (of a whole lane in the older format): of every cycle's block that range is kept, masked by the
+filter, turned from cycles to reads and sent as Arrow batches, so a task holds cycles times clusters_per_part bytes at most, beside one
+block. Planning reads only headers, tile lists and counts. The folder must be a path that driver and executors share.
 
 Options: lanes, tiles (comma-separated, to read only those), quality_map (linear or header), mode (FAILFAST or PERMISSIVE: a bad
-block decodes as N and !), clusters_per_batch.
+block decodes as N and !), clusters_per_batch, clusters_per_part.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from .runinfo import I1, I2, R1, R2, RunStructure, load_structure
 
 SCHEMA = "lane int, tile int, cluster bigint, sequence string, quality string, index1 string, index2 string, read2_sequence string, read2_quality string"
 HEADER_BYTES = 1 << 16
+#: Clusters of a tile that one task decodes.
+CLUSTERS_PER_PART = 1 << 19
 
 
 def base_calls_folder(folder: str) -> str:
@@ -79,11 +81,12 @@ def tile_table(path: str) -> tuple[binfmt.Header, list[binfmt.Tile]]:
 
 
 class TilePart(InputPartition):
-    """A tile: by cycle where its block lies (path, offset, size; None where it is missing) and where its filter lies."""
+    """Clusters low to high of a tile: by cycle where its block lies (path, offset, size; None where it is missing) and where its filter lies."""
 
-    def __init__(self, lane, tile, clusters, blocks, quality, filter_path, filter_at, kind):
-        super().__init__((lane, tile))
+    def __init__(self, lane, tile, clusters, blocks, quality, filter_path, filter_at, kind, low=0, high=None):
+        super().__init__((lane, tile, low))
         self.lane, self.tile, self.clusters, self.blocks = lane, tile, clusters, blocks
+        self.low, self.high = low, clusters if high is None else high
         self.quality, self.filter_path, self.filter_at, self.kind = quality, filter_path, filter_at, kind
 
 
@@ -103,7 +106,12 @@ class RunReader(DataSourceReader):
         for lane, folder in lane_folders(self.folder):
             if lanes is None or lane in lanes:
                 parts += self._cbcl_lane(lane, folder) if kind == "cbcl" else self._bcl_lane(lane, folder)
-        return [p for p in parts if tiles is None or p.tile in tiles]
+        return [q for p in parts if tiles is None or p.tile in tiles for q in self._ranges(p)]
+
+    def _ranges(self, part: "TilePart") -> list["TilePart"]:
+        step = max(int(self.options.get("clusters_per_part", CLUSTERS_PER_PART)), 1)
+        cut = lambda low: TilePart(part.lane, part.tile, part.clusters, part.blocks, part.quality, part.filter_path, part.filter_at, part.kind, low, min(low + step, part.clusters))
+        return [cut(low) for low in range(0, part.clusters, step)] or [part]
 
     def _cbcl_lane(self, lane: int, folder: str):
         blocks: dict[tuple[str, int], dict[int, tuple]] = {}
@@ -125,12 +133,12 @@ class RunReader(DataSourceReader):
         found, at = filters(lane, folder), 0
         named = {int(m[1]): p for p in found if (m := re.match(r"s_\d+_(\d+)\.filter$", os.path.basename(p)))}
         parts = []
+        # Files that don't name every tile hold the clusters of all tiles one after another, in the order of their names.
+        whole = not all(tile in named for tile in order)
         for tile in order:
-            path, start = (named[tile], 0) if tile in named else (found[0], at) if len(found) == 1 else (None, 0)
-            if path is None:
-                raise FileNotFoundError(f"{folder}: no filter of tile {tile}")
+            path, start = (tuple(found), at) if whole else ((named[tile],), -1)
             at += counts[tile]
-            parts.append(TilePart(lane, tile, counts[tile], [blocks[tile].get(c) for c in range(1, self.structure.cycles + 1)], values[tile], path, start if tile not in named else -1, "cbcl"))
+            parts.append(TilePart(lane, tile, counts[tile], [blocks[tile].get(c) for c in range(1, self.structure.cycles + 1)], values[tile], path, start, "cbcl"))
         return parts
 
     def _bcl_lane(self, lane: int, folder: str):
@@ -141,40 +149,52 @@ class RunReader(DataSourceReader):
             if path is None:
                 raise FileNotFoundError(f"{names[-1]}: cycle {cycle} of lane {lane} is missing")
             blocks.append((path, 0, -1))
-        return [TilePart(lane, 1101, -1, blocks, (), None, -1, "bcl")]
+        counts = {binfmt.read_count(path) for path, _, _ in blocks}
+        if len(counts) > 1:
+            raise binfmt.FormatError(f"lane {lane}: cycles of different cluster counts")
+        return [TilePart(lane, 1101, counts.pop() if counts else 0, blocks, (), None, -1, "bcl")]
 
-    def _cycles(self, part: TilePart):
-        """Base-call bytes by cycle, and which clusters pass."""
+    def _passing(self, part: TilePart) -> np.ndarray:
+        """Which of all the part's tile's clusters pass."""
         if part.kind == "bcl":
-            rows = [binfmt.read_calls(_read(path), path) for path, _, _ in part.blocks]
-            if len({len(r) for r in rows}) > 1:
-                raise binfmt.FormatError(f"lane {part.lane}: cycles of different cluster counts")
-            return rows, np.ones(len(rows[0]) if rows else 0, bool)
-        passing = binfmt.read_filter(_read(part.filter_path), part.filter_path)
-        if part.filter_at >= 0:
-            passing = passing[part.filter_at : part.filter_at + part.clusters]
+            return np.ones(part.clusters, bool)
+        flags = [binfmt.read_filter(_read(path), path) for path in part.filter_path]
+        if part.filter_at < 0:
+            passing = flags[0]
+        else:
+            passing = np.concatenate(flags)[part.filter_at : part.filter_at + part.clusters]
         if len(passing) != part.clusters:
-            raise binfmt.FormatError(f"{part.filter_path}: {len(passing)} clusters, tile {part.tile} has {part.clusters}")
-        rows, values = [], np.array(part.quality, np.uint8)
-        for place in part.blocks:
-            row = None
-            if place is not None:
-                path, at, n = place
-                try:
-                    row = binfmt.unpack_block(_read(path, at, n), part.clusters, values, f"{path}, tile {part.tile}")[passing]
-                except binfmt.FormatError:
-                    if not self.permissive:
-                        raise
-            rows.append(row if row is not None else np.zeros(int(passing.sum()), np.uint8))
-        return rows, passing
+            raise binfmt.FormatError(f"{part.filter_path[0]}: {len(passing)} clusters, tile {part.tile} has {part.clusters}")
+        return passing
+
+    def _cycles(self, part: TilePart):
+        """Base-call bytes by cycle of the part's clusters that pass, and their numbers."""
+        own = slice(part.low, part.high)
+        passing = self._passing(part)[own]
+        rows, values = np.zeros((len(part.blocks), int(passing.sum())), np.uint8), np.array(part.quality, np.uint8)
+        for i, place in enumerate(part.blocks):
+            if place is None:
+                continue
+            path, at, n = place
+            try:
+                if part.kind == "bcl":
+                    block = binfmt.read_calls(_read(path), path)
+                    if len(block) != part.clusters:
+                        raise binfmt.FormatError(f"lane {part.lane}: cycles of different cluster counts")
+                else:
+                    block = binfmt.unpack_block(_read(path, at, n), part.clusters, values, f"{path}, tile {part.tile}")
+                rows[i] = block[own][passing]
+            except binfmt.FormatError:
+                if not self.permissive:
+                    raise
+        return rows, np.flatnonzero(passing) + part.low
 
     def read(self, partition: TilePart):
-        rows, passing = self._cycles(partition)
-        calls = np.stack([rows[c - 1] for c in self.structure.order()]) if rows else np.zeros((0, 0), np.uint8)
-        clusters = np.flatnonzero(passing)
+        calls, clusters = self._cycles(partition)
+        order = np.array(self.structure.order(), np.int64) - 1
         step, lengths = int(self.options.get("clusters_per_batch", 65536)), self.structure.lengths
         for at in range(0, len(clusters), step):
-            reads = np.ascontiguousarray(calls[:, at : at + step].T)
+            reads = np.ascontiguousarray(calls[order, at : at + step].T)
             n, start, text = len(reads), 0, {}
             for segment in (R1, I1, I2, R2):
                 own = reads[:, start : start + lengths[segment]]
@@ -224,6 +244,6 @@ def discover_runs(top: str) -> list[tuple[str, int]]:
     """(folder, bytes) of the run folders below top, the smallest first."""
     found = []
     for d in sorted(glob.glob(os.path.join(top, "*"))):
-        if os.path.isdir(d) and (os.path.isdir(base_calls_folder(d)) or os.path.exists(os.path.join(d, "RunInfo.xml"))):
+        if os.path.isdir(d) and (os.path.isdir(base_calls_folder(d)) or os.path.exists(os.path.join(d, "RunInfo.xml")) and glob.glob(os.path.join(d, "**", "*.cbcl"), recursive=True)):
             found.append((d, sum(os.path.getsize(os.path.join(p, f)) for p, _, names in os.walk(d) for f in names)))
     return sorted(found, key=lambda x: (x[1], x[0]))

@@ -48,10 +48,27 @@ def parse(text: str) -> list[tuple[int, str, str, str, int]]:
     return rows
 
 
-def load(spark: SparkSession, path: str) -> DataFrame:
+def parse_positional(text: str) -> list[tuple[int, str, str, str, int]]:
+    """As parse, of sheets read by position: after [Data] and one header row, the sample's name second, indexes eighth and ninth; NA is no index."""
+    rows, lines = [], iter(text.split("\n"))
+    for line in lines:
+        if "[Data]" in line:
+            next(lines, None)
+            break
+    for line in lines:
+        line = line.strip(BLANKS)
+        if line.startswith("["):
+            break
+        if line:
+            cells = [*(c.strip(BLANKS) for c in line.split(",")), *[""] * 9]
+            rows.append((len(rows), cells[1], cells[7], "" if cells[8] == "NA" else cells[8], 0))
+    return rows
+
+
+def load(spark: SparkSession, path: str, positional: bool = False) -> DataFrame:
     """The samples of a sheet that Spark can read, in file order."""
-    lines = [r["value"] for r in spark.read.option("wholetext", "true").text(path).collect()]
-    rows = parse("\n".join(lines))
+    lines = [r["value"] for r in spark.read.text(path, wholetext=True).collect()]
+    rows = (parse_positional if positional else parse)("\n".join(lines))
     if not rows:
         raise ValueError(f"{path}: no samples in the sample sheet")
     return spark.createDataFrame(rows, SCHEMA)

@@ -30,8 +30,10 @@ def sql():
 
 
 def names():
+    from readrouter.plans import runfolders
     from readrouter.plans.catalog import QUERIES
 
+    assert runfolders.QUERIES is QUERIES
     return sorted(QUERIES)
 
 

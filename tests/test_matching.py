@@ -81,3 +81,33 @@ def test_filter_and_trim(spark):
     assert demultiplex(rows, samples, trim="CTGTCTCTTATACACATCT").first()["sequence"] == "A" * 12 + "CTGTCTCT"
     long = reads(spark, [(1, "A" * 12 + "CTGTCTCTTATA", "AAAA", "")])
     assert demultiplex(long, samples, trim="CTGTCTCTTATACACATCT").first()["sequence"] == "A" * 12
+
+
+def brute_gap(key, barcodes, most, gap):
+    distances = sorted((sum(x != y for x, y in zip(key, b)), i) for i, b in enumerate(barcodes))
+    near = distances[0]
+    if near[0] > most or len(distances) > 1 and gap and distances[1][0] < near[0] + gap:
+        return None
+    return near[1]
+
+
+@pytest.mark.parametrize("gap", [0, 1, 2, 3])
+@pytest.mark.parametrize("most", [1, 2])
+@pytest.mark.parametrize("entries", [M.BROADCAST_ENTRIES, 0])
+def test_one_gap_rule_whatever_the_sheet(spark, monkeypatch, gap, most, entries):
+    """A runner-up counts even beyond the mismatches allowed; the sheet's size doesn't change what a read belongs to."""
+    monkeypatch.setattr(M, "BROADCAST_ENTRIES", entries)
+    random.seed(gap)
+    barcodes = ["AAAAA", "AAAAT", "CCCCC", "CCGGC"] + ["".join(random.choice("ACGT") for _ in range(5)) for _ in range(4)]
+    barcodes = list(dict.fromkeys(barcodes))
+    keys = ["".join(random.choice("ACGTN") for _ in range(5)) for _ in range(200)] + barcodes
+    sheet = spark.createDataFrame([(i, f"S{i}", b, "", 0) for i, b in enumerate(barcodes)], SAMPLE).withColumn("barcode", F.col("index1"))
+    found = M.match_reads(spark.createDataFrame(list(enumerate(keys)), "read_id bigint, key string"), M.barcode_map(sheet), 5, most, gap).orderBy("read_id").collect()
+    assert [r["match_ord"] for r in found] == [brute_gap(k, barcodes, most, gap) for k in keys]
+
+
+def test_reads_per_lane_tells_lane_0_from_all_lanes(spark):
+    from readrouter.operators.stats import reads_per_lane
+
+    rows = reads_per_lane(spark.createDataFrame([(0,), (0,), (1,), (None,)], "lane bigint")).collect()
+    assert {tuple(r) for r in rows} == {(0, True, 4), (0, False, 2), (1, False, 1), (None, False, 1)}

@@ -135,4 +135,55 @@ def test_discovery(tmp_path):
     cbcl_run(str(tmp_path / "b"), READS, LANES, np.random.default_rng(1))
     run_info(str(tmp_path / "a"), READS)
     (tmp_path / "other").mkdir()
-    assert [os.path.basename(p) for p, _ in runs.discover_runs(str(tmp_path))] == ["a", "b"]
+    run_info(str(tmp_path / "c"), READS)
+    write_cbcl(str(tmp_path / "c" / "somewhere" / "x.cbcl"), [(1, 3)], {1: [4, 14, 1]})
+    # A run has base calls, or a RunInfo.xml and a .cbcl file somewhere.
+    assert [os.path.basename(p) for p, _ in runs.discover_runs(str(tmp_path))] == ["c", "b"]
+
+
+@pytest.mark.parametrize("step", [1, 7, 1 << 19])
+def test_ranges_of_clusters_and_filters_without_tile_names(spark, tmp_path, step):
+    data = cbcl_run(str(tmp_path), READS, LANES, np.random.default_rng(1))
+    plain = {k: v["sequence"] for k, v in decode(READS, data).items()}
+    rows = lambda: {(r["lane"], r["tile"], r["cluster"]): r["sequence"] for r in load(spark, tmp_path, clusters_per_part=step).collect()}
+    assert rows() == plain
+    # Two files that name no tile: clusters of all tiles one after another, cut anywhere.
+    folder = tmp_path / "Data/Intensities/BaseCalls/L001"
+    flags = [f for tile, _ in LANES[1] for f in data[1, tile][1]]
+    for f in glob.glob(str(folder / "*.filter")):
+        os.unlink(f)
+    write_filter(folder / "s_1_a.filter", flags[:25])
+    write_filter(folder / "s_1_b.filter", flags[25:])
+    assert rows() == plain
+
+
+def test_positional_sheet():
+    text = "[Header]\nx\n[Data]\nid,name,a,b,c,d,e,index,index2\n1,One,,,,,,ACGT,TTTT\n2,Two,,,,,,GGGG,NA\n"
+    assert samplesheet.parse_positional(text) == [(0, "One", "ACGT", "TTTT", 0), (1, "Two", "GGGG", "", 0)]
+
+
+def test_fastq_by_sample(spark, tmp_path):
+    from readrouter.operators.routing import demultiplex
+    from readrouter.plans import derive as D
+
+    routed = demultiplex(D.reads(spark, "/root/testdata/sf0.001"), D.samples(spark, "/root/testdata/sf0.001"))
+    fastq.write(routed, str(tmp_path / "out"), True, naming="samples")
+    counts = {r["route"]: r["count"] for r in routed.groupBy("route").count().collect()}
+    found = {os.path.basename(p): sum(1 for _ in open(p)) // 4 for p in glob.glob(str(tmp_path / "out" / "*"))}
+    assert found == {f"{'Undetermined' if k == 'undetermined' else k}_R{m}.fastq": n for k, n in counts.items() for m in (1, 2)}
+
+
+def test_folder_sizes_and_reports(spark, tmp_path):
+    from readrouter.operators.stats import folder_sizes
+    from readrouter.sources import reports
+
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    (tmp_path / "in" / "a").write_bytes(b"x" * 1500)
+    (tmp_path / "in" / "deep" / "b").write_bytes(b"y" * 20)
+    assert tuple(folder_sizes(spark, str(tmp_path / "in")).first()) == (1520, 2)
+    rows = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", float("nan"))], "run string, v double")
+    reports.write_runs(rows, "run", "v", str(tmp_path / "runs"))
+    assert [(r["run"], r["n"], r["avg_value"], r["delta"]) for r in spark.read.json(str(tmp_path / "runs")).collect()] == [("a", 2, 2.0, 2.0)]
+    reports.write_summary(rows.groupBy("run").count(), str(tmp_path / "out"))
+    for kind in ("json", "csv"):
+        assert {tuple(r) for r in reports.read_summary(spark, str(tmp_path / "out"), "run string, count bigint", kind).collect()} == {("a", 2), ("b", 1)}
