@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 _own_folder: dict[str, str] = {}
+_marked: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local session has one of its own; a cluster is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_folder:
         _own_folder[app] = "file://" + tempfile.mkdtemp(prefix="readrouter-")
@@ -26,10 +29,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/readrouter-{uuid.uuid4().hex}/{name}"
+    """Write df to the shared folder and read it back: cuts lineage and survives lost executors. The folder of an application goes when its driver ends."""
+    spark = df.sparkSession
+    own = f"{shared_dir(spark)}/readrouter-{spark.sparkContext.applicationId}"
+    if own not in _marked:
+        path = spark._jvm.org.apache.hadoop.fs.Path(own)
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+        _marked.add(own)
+    path = f"{own}/{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def importable(spark: SparkSession) -> None:

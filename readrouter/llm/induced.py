@@ -1,8 +1,8 @@
 """External induced sorting of suffixes, with common-prefix values.
 
 Suffixes that are smaller than their successor and follow one that is larger (S* suffixes) are sorted first: their substrings up
-to the next S* position get names, and the string of names is sorted by recursion (in memory once it fits the given
-limit). From them the larger (L) suffixes are induced by rising and the smaller (S) ones by falling first symbol. The queue
+to the next S* position get names, and the string of names is sorted by recursion (by doubling once it fits the given
+limit, or if it has many different names). S* positions and their names lie in memory: about 20 bytes for each byte of text. From them the larger (L) suffixes are induced by rising and the smaller (S) ones by falling first symbol. The queue
 of the induction is a priority queue by symbol, first in first out within a symbol: a symbol's suffixes are taken out,
 and each puts the suffix before it back under that suffix's symbol, in batches. Queue and sorted suffixes go to
 files when they pass the limit. Each entry carries its common prefix with the one put before it under the same
@@ -20,15 +20,20 @@ import numpy as np
 
 #: Suffixes handled at once.
 BATCH = 1 << 18
+#: Different names up to which their string is sorted by recursion; with more, induction would handle a few suffixes at a time.
+SYMBOLS = 1024
 
 
 class Log:
-    """Positions and common prefixes by symbol, in the order in which they came; in a file beyond the limit."""
+    """Positions and common prefixes by symbol, in the order in which they came; beyond the limit in files, one for each time that memory was full."""
 
     def __init__(self, folder: str, name: str, limit: int):
-        self.folder, self.name, self.limit, self.held = folder, name, limit, 0
+        self.folder, self.name, self.limit, self.held, self.files = folder, name, limit, 0, 0
         self.parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        self.written: dict[int, list[tuple[str, int]]] = {}
+        #: By symbol, where its entries lie: file, first byte, entries.
+        self.written: dict[int, list[tuple[str, int, int]]] = {}
+        #: Symbols that each file still holds.
+        self.left: dict[str, int] = {}
 
     def put(self, symbol: int, positions: np.ndarray, prefixes: np.ndarray) -> None:
         self.parts.setdefault(symbol, []).append((positions, prefixes))
@@ -37,42 +42,53 @@ class Log:
             self.spill()
 
     def spill(self) -> None:
-        for symbol, parts in self.parts.items():
-            for positions, prefixes in _joined(parts):
-                path = os.path.join(self.folder, f"{self.name}-{symbol}-{len(self.written.setdefault(symbol, []))}")
-                with open(path, "wb") as f:
-                    positions.tofile(f)
-                    prefixes.tofile(f)
-                self.kind = positions.dtype
-                self.written[symbol].append((path, len(positions)))
+        path = os.path.join(self.folder, f"{self.name}-{self.files}")
+        self.files += 1
+        self.left[path] = len(self.parts)
+        with open(path, "wb") as f:
+            for symbol, parts in self.parts.items():
+                n = sum(len(p) for p, _ in parts)
+                self.written.setdefault(symbol, []).append((path, f.tell(), n))
+                for column in zip(*parts):
+                    f.write(b"".join(x.tobytes() for x in column))
+                self.kind = parts[0][0].dtype
         self.parts, self.held = {}, 0
 
-    def _read(self, path: str, n: int, remove: bool):
+    def _read(self, path: str, at: int, n: int, remove: bool):
         with open(path, "rb") as f:
+            f.seek(at)
             found = np.fromfile(f, self.kind, n), np.fromfile(f, np.uint8, n)
         if remove:
-            os.unlink(path)
+            self.left[path] -= 1
+            if not self.left[path]:
+                os.unlink(path)
         return found
 
     def take(self, symbol: int):
         """The entries put under the symbol so far, which leave the log."""
         files, parts = self.written.pop(symbol, []), self.parts.pop(symbol, [])
         self.held -= sum(len(p) for p, _ in parts)
-        for path, n in files:
-            yield self._read(path, n, True)
-        yield from _joined(parts)
+        yield from _joined([*(lambda w=w: self._read(*w, True) for w in files), *parts])
 
     def backwards(self, symbol: int):
         """The entries of the symbol from the last to the first; each part's order is the caller's to turn."""
         yield from reversed(list(_joined(self.parts.get(symbol, []))))
-        for path, n in reversed(self.written.get(symbol, [])):
-            yield self._read(path, n, False)
+        files = self.written.get(symbol, [])
+        end = len(files)
+        while end:
+            start, size = end, 0
+            while start and (size == 0 or size + files[start - 1][2] <= BATCH):
+                start -= 1
+                size += files[start][2]
+            yield tuple(map(np.concatenate, zip(*(self._read(*w, False) for w in files[start:end]))))
+            end = start
 
 
 def _joined(parts):
-    """The parts, small ones put together."""
+    """The parts, or what gives them, small ones put together."""
     held, size = [], 0
     for part in parts:
+        part = part() if callable(part) else part
         held.append(part)
         size += len(part[0])
         if size >= BATCH:
@@ -276,7 +292,7 @@ def sort_stars(text: np.ndarray, stars: np.ndarray, cap: int, limit: int, folder
         order[names] = np.arange(len(stars))
         return order
     depth = cap // 2 + 2  # an S* position is two symbols or more after another
-    if len(names) <= limit:
+    if len(names) <= limit or kinds > SYMBOLS:
         return _in_memory(names, depth)
     with tempfile.TemporaryDirectory(dir=folder) as inner:
         lower = np.append(names + 1, 0)

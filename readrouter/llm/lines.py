@@ -42,17 +42,18 @@ def drop_boilerplate(documents: DataFrame, host: str = "source", text: str = "te
     found = stage(boilerplate(documents, host, text, ratio, least_pages), "boilerplate")
     size = found.agg(F.sum(F.size("_lines"))).first()[0] or 0
     columns = [c for c in documents.columns if c not in ("n_lines", "n_dropped")]
-    pages = documents.select(*columns, F.coalesce(F.col(host), F.lit("")).alias("_host"))
+    # The row travels as one column, so that no name of it can clash.
+    pages = documents.select(F.struct(*columns).alias("_row"), F.col(text).alias("_text"), F.coalesce(F.col(host), F.lit("")).alias("_host"))
     if size <= BROADCAST_LINES:
         joined = pages.join(F.broadcast(found), "_host", "left")
     else:
         salted = found.select("_host", "_lines", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-        joined = pages.withColumn("_salt", F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int")).join(salted, ["_host", "_salt"], "left")
-    lines = _lines(F.col(text))
+        joined = pages.withColumn("_salt", F.pmod(F.xxhash64("_text"), F.lit(SALTS)).cast("int")).join(salted, ["_host", "_salt"], "left")
+    lines = _lines(F.col("_text"))
     kept = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.coalesce(F.array_contains(F.col("_lines"), _key(x)), F.lit(False)))
-    done = joined.select(*columns, F.coalesce(F.size(lines), F.lit(0)).alias("_all"), F.when(F.col("_lines").isNull(), lines).otherwise(kept).alias("_kept"))
+    done = joined.select("_row", F.coalesce(F.size(lines), F.lit(0)).alias("_all"), F.when(F.col("_lines").isNull(), lines).otherwise(kept).alias("_kept"))
     return done.select(
-        *(F.array_join("_kept", "\n").alias(c) if c == text else F.col(c) for c in columns),
+        *(F.array_join("_kept", "\n").alias(c) if c == text else F.col("_row")[c].alias(c) for c in columns),
         F.when(F.col("_all") < 0, 0).otherwise(F.col("_all")).cast("bigint").alias("n_lines"),
         F.when(F.col("_all") < 0, 0).otherwise(F.col("_all") - F.size("_kept")).cast("bigint").alias("n_dropped"),
     )

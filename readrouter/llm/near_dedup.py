@@ -11,6 +11,8 @@ set sizes, decides whether a similarity at the threshold is still possible; what
    are verified by the bits of their shared shingles, in blocks of bounded size; only links that join two components come out. So every
    pair that shares a bucket is either verified or already connected, and no pair but a link is ever a row.
 
+Sets are of 64-bit hashes of shingles, sketches and verification alike.
+
 Two sets at a similarity of 0.8 share no bucket with a chance of about 4e-7 (28 bands of 4 registers), and more similar ones far less.
 BASE is near 1, as unrelated sets of one size would often be equal in registers of a few bits.
 
@@ -35,8 +37,8 @@ BANDS, ROWS, BASE = 28, 4, 1.01
 #: Added to a register, so that values above 1 have room below it.
 ZERO = 2000
 REGISTERS = BANDS * ROWS
-#: Members of a cluster and shingles of them that are compared in one place, and partners of one document that are verified in one place.
-BLOCK, BLOCK_SHINGLES, PARTNERS = 2048, 1_000_000, 1000
+#: Members of a cluster and shingles of them that are compared in one place (for two blocks 4,096 by 400,000 bits, 205 MB, at most), and partners of one document that are verified in one place.
+BLOCK, BLOCK_SHINGLES, PARTNERS = 2048, 400_000, 1000
 #: Log-likelihood that a similarity at the threshold may lose against the best one before the pair is given up.
 SLACK = 18.0
 #: Bytes of text that are hashed at once.

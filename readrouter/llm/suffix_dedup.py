@@ -229,19 +229,22 @@ def _strip(batches, text_at):
         yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == text_at else batch.column(i) for i in range(batch.num_columns - 1)], batch.schema.names[:-1])
 
 
-def with_spans(documents: DataFrame, found: DataFrame) -> DataFrame:
-    """documents with their spans, null where nothing goes; only the documents that lose bytes are joined by a shuffle."""
+SPANS = "array<struct<from:int,to:int>>"
+
+
+def with_spans(documents: DataFrame, found: DataFrame, name: str = "spans") -> DataFrame:
+    """documents with their spans under that name, null where nothing goes; only the documents that lose bytes are joined by a shuffle."""
     ids = found.select("doc_id")
-    touched = keep_ids(documents, ids, "doc_id").join(found, "doc_id")
-    rest = drop_ids(documents, ids, "doc_id").withColumn("spans", F.lit(None).cast("array<struct<from:int,to:int>>"))
-    return touched.select(*documents.columns, "spans").unionByName(rest)
+    touched = keep_ids(documents, ids, "doc_id").join(found.withColumnRenamed("spans", name), "doc_id")
+    rest = drop_ids(documents, ids, "doc_id").withColumn(name, F.lit(None).cast(SPANS))
+    return touched.select(*documents.columns, name).unionByName(rest)
 
 
 def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
-    """documents without the repeated bytes; of a character cut by the edge of a removed run nothing stays."""
-    columns = documents.drop("spans").columns
-    joined = with_spans(documents.select(*columns), stage(spans(documents, length), "spans"))
-    return map_arrow(joined, partial(_strip, text_at=columns.index("text")), documents.select(*columns).schema)
+    """documents without the repeated bytes; of a character cut by the edge of a removed run nothing stays. All columns stay."""
+    name = "_".join(["spans", *documents.columns])
+    joined = with_spans(documents, stage(spans(documents, length), "spans"), name)
+    return map_arrow(joined, partial(_strip, text_at=documents.columns.index("text")), documents.schema)
 
 
 def suffix_dedup(documents: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -10,7 +10,7 @@ Equal codes are one entry that keeps its k smallest ids, more of which no result
 neither fill a bucket nor multiply candidates. Ties are broken by the smaller id.
 
 Defined results: a vector that is null, or null or absent in a component, has bit 0 there, as have components that aren't above 0;
-components past `bits` are an error; a row with a null id is neither searched nor found; with fewer than k rows all are returned.
+a code has as many words of 64 bits as the longest vector asks for; a row with a null id is neither searched nor found; with fewer than k rows all are returned.
 """
 
 from __future__ import annotations
@@ -22,34 +22,44 @@ from pyspark.sql import functions as F
 
 from .common import stage
 
-#: Most bits of a segment.
-WIDTH = 16
+#: Bits of a segment by the logarithm of the number of codes, so that buckets neither fill up nor stay empty.
+WIDTHS = ((0, 8), (8, 16), (26, 32))
 
 
-def code(vector: Column, bits: int = 64) -> Column:
-    """The signs of the first `bits` components, component i at bit i."""
+def code(vector: Column, words: int = 1) -> Column:
+    """The signs of the components as an array of words, component i at bit i % 64 of word i // 64."""
     zero = F.lit(0).cast("bigint")
-    signs = F.transform(F.coalesce(vector, F.array().cast("array<float>")), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), i.cast("int"))).otherwise(zero))
-    whole = F.aggregate(signs, zero, lambda a, b: a.bitwiseOR(b))
-    return F.when(F.size(vector) > bits, F.raise_error(F.lit(f"a vector has more than {bits} components"))).otherwise(whole)
+    signs = F.transform(F.coalesce(vector, F.array().cast("array<float>")), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), (i % 64).cast("int"))).otherwise(zero))
+    word = lambda w: F.aggregate(F.slice(signs, 64 * w + 1, 64), zero, lambda a, b: a.bitwiseOR(b))
+    return F.array(*map(word, range(words)))
 
 
-def _segment(value: Column, at: int, width: int) -> Column:
-    return F.shiftrightunsigned(value, at * width).bitwiseAND(F.lit((1 << width) - 1).cast("bigint"))
+def _segments(code: str, count: int, width: int) -> Column:
+    """The values of all segments; a width divides 64."""
+    place = lambda s: F.shiftrightunsigned(F.col(code)[s * width // 64], s * width % 64).bitwiseAND(F.lit((1 << width) - 1).cast("bigint"))
+    return F.array(*map(place, range(count)))
 
 
-def search(rows: DataFrame, queries: DataFrame, k: int, bits: int = 64, segments: int | None = None) -> DataFrame:
-    """rows and queries: id (bigint), code (bigint). Returns query_id, rank, id, distance: the k nearest of all rows by (distance, id)."""
+def _distance(a: str, b: str, words: int) -> Column:
+    total = F.lit(0)
+    for w in range(words):
+        total = total + F.bit_count(F.col(a)[w].bitwiseXOR(F.col(b)[w]))
+    return total.cast("int")
+
+
+def search(rows: DataFrame, queries: DataFrame, k: int, words: int = 1, width: int | None = None) -> DataFrame:
+    """rows and queries: id (bigint), code (array of so many bigints). Returns query_id, rank, id, distance: the k nearest of all rows by (distance, id)."""
     rows, queries = rows.where(F.col("id").isNotNull()), queries.where(F.col("id").isNotNull())
     # Equal codes once, with the k smallest ids; WindowGroupLimit prunes before the shuffle.
     by_code = Window.partitionBy("code").orderBy("id")
     kept = rows.withColumn("_n", F.row_number().over(by_code)).where(F.col("_n") <= k)
     entries = stage(kept.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")), "codes")
     n = entries.agg(F.sum(F.size("ids"))).first()[0] or 0
-    if segments is None:
-        segments = next(m for m in (1, 2, 4, 8, 16, 32, 64) if bits % m == 0 and bits // m <= WIDTH)
-    width, least = bits // segments, min(k, n)
-    cut = lambda c: F.array(*(_segment(F.col(c), s, width) for s in range(segments)))
+    if width is None:
+        width = next(w for least, w in reversed(WIDTHS) if entries.count().bit_length() > least or not least)
+    bits = 64 * words
+    segments, least = bits // width, min(k, n)
+    cut = lambda c: _segments(c, segments, width)
     asked = stage(queries.select(F.col("code").alias("_q")).distinct(), "queries")  # equal queries are searched once
     index = stage(entries.select("code", F.size("ids").alias("_rows"), F.col("ids")[0].alias("_first"), F.posexplode(cut("code")).alias("_seg", "_value")), "index")
     waiting, found = asked.withColumn("_bound", F.lit(None).cast("int")), None
@@ -58,9 +68,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int, bits: int = 64, segments
         ask = F.coalesce(F.least(F.lit(segments), F.col("_bound") + 1 - segments * radius), F.lit(segments))
         probe = waiting.select("_q", "_bound", F.posexplode(F.slice(cut("_q"), F.lit(1), ask)).alias("_seg", "_part"))
         probe = probe.select("_q", "_bound", "_seg", F.explode(F.transform(masks, lambda m: F.col("_part").bitwiseXOR(m))).alias("_value"))
-        distance = F.bit_count(F.col("_q").bitwiseXOR(F.col("code"))).cast("int")
         # Spark would guess the probes' size from the queries'; they are dealt by key instead of broadcast.
-        met = probe.hint("merge").join(index, ["_seg", "_value"]).withColumn("distance", distance).where(F.col("distance") <= F.coalesce("_bound", F.lit(bits)))
+        met = probe.hint("merge").join(index, ["_seg", "_value"]).withColumn("distance", _distance("_q", "code", words)).where(F.col("distance") <= F.coalesce("_bound", F.lit(bits)))
         met = met.select("_q", "code", "distance", "_rows", "_first").distinct()
         every = met.unionByName(found).dropDuplicates(["_q", "code"]) if found is not None else met
         # A row of the result stands in one of the first k codes by distance and smallest id.
@@ -77,10 +86,12 @@ def search(rows: DataFrame, queries: DataFrame, k: int, bits: int = 64, segments
     return queries.select(F.col("id").alias("query_id"), F.col("code").alias("_q")).join(ranked, "_q").select("query_id", F.col("rank").cast("int").alias("rank"), "id", "distance")
 
 
-def exact_top_k(embeddings: DataFrame, k: int = 10, bits: int = 64) -> DataFrame:
+def exact_top_k(embeddings: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, distance: the k nearest of all rows, itself included, to every row whose id is divisible by 100."""
-    rows = embeddings.select(F.col("vec_id").cast("bigint").alias("id"), code(F.col("embedding"), bits).alias("code"))
-    return search(rows, rows.where(F.col("id") % 100 == 0), k, bits).withColumnRenamed("id", "vec_id")
+    longest = embeddings.agg(F.max(F.size("embedding"))).first()[0] or 0
+    words = max(1, -(-longest // 64))
+    rows = embeddings.select(F.col("vec_id").cast("bigint").alias("id"), code(F.col("embedding"), words).alias("code"))
+    return search(rows, rows.where(F.col("id") % 100 == 0), k, words).withColumnRenamed("id", "vec_id")
 
 
 #: The same in DuckDB by brute force.

@@ -254,3 +254,23 @@ def test_fingerprints_are_native(spark):
     """No Python, pandas or Arrow step in the plan of the comparison."""
     plan = fingerprints._compare(documents(spark, ["a b", "b c", "c"]), 12)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "InPandas" not in plan
+
+
+def test_external_queue_keeps_its_order_and_takes_time_in_proportion():
+    """A text forty times the limit: the order of the one in memory, in seconds."""
+    import time
+
+    rng = np.random.default_rng(1)
+    words = [bytes(rng.integers(97, 123, rng.integers(2, 9)).tolist()) for _ in range(3000)]
+    text = np.frombuffer(b" ".join(words[i] for i in rng.integers(0, 3000, 160_000))[:800_000] + b"\0", np.uint8)
+    inside = [np.concatenate(x) for x in zip(*sorted_suffixes(text, 200))]
+    began = time.process_time()
+    outside = [np.concatenate(x) for x in zip(*sorted_suffixes(text, 200, 20_000))]
+    assert time.process_time() - began < 30
+    assert (inside[0] == outside[0]).all() and (inside[1] == outside[1]).all()
+
+
+def test_removed_passages_leave_every_column(spark):
+    texts = ["é" * 300, "é" * 300, "own"]
+    rows = suffix_dedup.remove_repeats(documents(spark, texts).withColumn("from", F.lit(1))).orderBy("doc_id").collect()
+    assert [(r["doc_id"], r["text"], r["spans"], r["from"]) for r in rows] == [(0, "", "x", 1), (3, "", "x", 1), (6, "own", "x", 1)]

@@ -392,3 +392,19 @@ def test_quality_ranks_the_held_out_fold(spark):
     good, bad = ([r["score"] for r in rows if r["quality"] == k] for k in (1, 0))
     assert np.mean([(g > b) + 0.5 * (b == g) for b in bad for g in good]) >= 0.99
     assert np.mean([r["predicted"] == r["quality"] for r in rows]) >= 0.95
+
+
+def test_top_k_of_long_vectors(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=int(rng.integers(60, 150))).tolist()) for i in range(301)]
+    found = topk.exact_top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), 5).collect()
+    signs = {i: [j < len(v) and v[j] > 0 for j in range(150)] for i, v in rows}
+    for q in (0, 100, 200, 300):
+        expected = sorted((sum(a != b for a, b in zip(signs[q], signs[i])), i) for i in signs)[:5]
+        assert [(r["distance"], r["vec_id"]) for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == q] == expected
+
+
+def test_lines_of_clashing_columns(spark):
+    rows = [(i, f"menu\nown {i}", "a", "h", 7) for i in range(10)]
+    found = lines.drop_boilerplate(spark.createDataFrame(rows, "doc_id bigint, text string, source string, _host string, _lines int")).collect()
+    assert sorted((r["doc_id"], r["text"], r["_host"], r["_lines"]) for r in found) == [(i, f"own {i}", "h", 7) for i in range(10)]
