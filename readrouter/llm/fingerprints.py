@@ -68,7 +68,8 @@ def with_next(documents: DataFrame) -> DataFrame:
     before = [(i, heads[k - 1][0]) for k, (_, i) in enumerate(heads)]
     copies = dealt.join(F.broadcast(docs.sparkSession.createDataFrame(before, "doc_id bigint, _to bigint")), "doc_id")
     copies = copies.dropDuplicates(["doc_id"]).select("doc_id", "text", F.col("_to").alias("bucket"), F.lit(1).alias("_copy"))
-    rows = dealt.withColumn("_copy", F.lit(0)).unionByName(copies)
+    # Rows grow tenfold from here on, so the number of partitions must not follow the size of the texts.
+    rows = dealt.withColumn("_copy", F.lit(0)).unionByName(copies).repartition(RANGES * partitions(docs.sparkSession), "bucket")
     rows = rows.withColumn("_again", F.lag("doc_id").over(_in_order()).eqNullSafe(F.col("doc_id")) & F.lag("_copy").over(_in_order()).eqNullSafe(F.col("_copy"))).where("not _again")
     return rows.select("bucket", "_copy", "doc_id", "text", F.lead("text").over(_in_order()).alias("next_text"))
 
