@@ -143,8 +143,8 @@ def _cells(sent: DataFrame, keys: list[str], sides: int, width: int, salt: int)
     return summed.groupBy(*keys, "shard").agg(F.sort_array(F.collect_list(F.struct("idx", *(f"{x}{i}" for i in range(sides) for x in "cik")))).alias("cells"))
 
 
-def _compare(documents: DataFrame, unit_words: int) -> DataFrame:
-    """doc_id, meta (next_id and sizes), print_0, print_1 and for both pairs the digests found and the shards that failed."""
+def _compare(documents: DataFrame, unit_words: int, digests: bool = False) -> DataFrame:
+    """doc_id, meta (next_id and sizes), print_0, print_1 and for both pairs the number of digests found, the shards that failed and, asked for, the digests."""
     ordered = with_next(documents).withColumn("n0", F.size(_units(F.col("text"), unit_words)))
     own = ordered.select("*", F.lead("doc_id").over(_in_order()).alias("next_id"), F.lead("n0").over(_in_order()).alias("n2"), _edit(F.col("text"), F.col("next_text")).alias("edited")).drop("next_text")
     own = own.withColumn("n1", F.size(_units(F.col("edited"), unit_words)))
@@ -200,7 +200,9 @@ def _compare(documents: DataFrame, unit_words: int) -> DataFrame:
     out = [F.max("meta").alias("meta"), joined("_p0").alias("print_0"), joined("_p1").alias("print_1")]
     for r in ("_r1", "_r2"):
         ok = F.size(f"{r}.c") == 0
-        out += [F.collect_list(F.when(ok & (F.size(f"{r}.ids") > 0), F.col(f"{r}.ids"))).alias(f"ids{r}"), F.collect_list(F.when(~ok, F.struct("s", "shard"))).alias(f"failed{r}")]
+        out += [F.sum(F.when(ok, F.size(f"{r}.ids")).otherwise(0)).alias(f"d{r}"), F.collect_list(F.when(~ok, F.struct("s", "shard"))).alias(f"failed{r}")]
+        if digests:
+            out.append(F.collect_list(F.when(ok & (F.size(f"{r}.ids") > 0), F.col(f"{r}.ids"))).alias(f"ids{r}"))
     return shards.groupBy("bucket", "owner").agg(*out).withColumnRenamed("owner", "doc_id")
 
 
@@ -219,9 +221,9 @@ def _again(documents: DataFrame, todo: DataFrame, unit_words: int, width: int, s
     return cells.select(*keys, "shard", F.expr(_peeled(_difference(0, 1), width, salt)).alias("_r")).select(*keys, "shard", "_r.ids", (F.size("_r.c") > 0).alias("failed"))
 
 
-def _settled(documents: DataFrame, unit_words: int) -> tuple[DataFrame, DataFrame | None]:
+def _settled(documents: DataFrame, unit_words: int, digests: bool = False) -> tuple[DataFrame, DataFrame | None]:
     """The comparison of all documents, and of what failed there the digests by shard from the retries (doc_id, pair, ids)."""
-    first = stage(_compare(documents, unit_words), "fingerprints")
+    first = stage(_compare(documents, unit_words, digests), "fingerprints")
     failed = [first.where(F.size(f"failed_r{i}") > 0).select("doc_id", "meta.next_id", F.lit(i).alias("pair"), F.explode(f"failed_r{i}").alias("_f")) for i in (1, 2)]
     gather = lambda df: df.groupBy("doc_id", "next_id", "pair", "s").agg(F.sort_array(F.collect_list("shard")).alias("shards"))
     todo = stage(gather(reduce(DataFrame.unionByName, failed).select("doc_id", "next_id", "pair", "_f.s", "_f.shard")), "todo")
@@ -244,8 +246,7 @@ def fingerprints(documents: DataFrame, unit_words: int = UNIT_WORDS) -> DataFram
     if not documents.where(F.col("doc_id").isNotNull()).head(1):
         return documents.sparkSession.createDataFrame([], "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     first, again = _settled(documents, unit_words)
-    size = lambda c: F.aggregate(F.transform(c, F.size), F.lit(0), lambda a, x: a + x)
-    near = first.select("doc_id", "meta", "print_0", "print_1", size("ids_r1").alias("d1"), size("ids_r2").alias("d2"))
+    near = first.select("doc_id", "meta", "print_0", "print_1", F.col("d_r1").alias("d1"), F.col("d_r2").alias("d2"))
     if again is not None:
         of = lambda k: F.sum(F.when(F.col("pair") == k, F.size("ids")).otherwise(0)).alias(f"more{k}")
         near = near.join(sized(stage(again.groupBy("doc_id").agg(of(1), of(2)), "more")), "doc_id", "left")
@@ -257,7 +258,7 @@ def fingerprints(documents: DataFrame, unit_words: int = UNIT_WORDS) -> DataFram
 
 def differences(documents: DataFrame, unit_words: int = UNIT_WORDS) -> DataFrame:
     """doc_id, pair (edited or next), digest and side (1: in the text alone, -1: in the other alone) of every digest that peeling recovered."""
-    first, again = _settled(documents, unit_words)
+    first, again = _settled(documents, unit_words, True)
     rows = [first.select("doc_id", F.lit(i).alias("pair"), F.explode(F.flatten(f"ids_r{i}")).alias("_x")) for i in (1, 2)]
     if again is not None:
         rows.append(again.select("doc_id", "pair", F.explode("ids").alias("_x")))
