@@ -321,3 +321,20 @@ def near_duplicates(documents: DataFrame, words: int = 5, threshold: float = 0.8
     found = sketched.drop("registers").join(of_set, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+#: op9 in DuckDB by brute force: different sets that share a shingle are compared on their shingles, and links followed to the smallest id.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_sort(list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(list_slice(w, i, i + 3), ' '))))
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS sh FROM d),
+k AS (SELECT doc_id, sh, CAST(len(sh) AS BIGINT) AS n, min(doc_id) OVER (PARTITION BY sh) AS rep FROM s),
+e AS (SELECT DISTINCT rep, n, unnest(sh) AS x FROM k WHERE doc_id = rep),
+l AS (SELECT a.rep AS a, b.rep AS b FROM e a JOIN e b ON a.x = b.x AND a.rep < b.rep GROUP BY a.rep, b.rep, a.n, b.n
+  HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+c AS (SELECT rep AS node, rep AS seen FROM k UNION SELECT c.node, u.b FROM c JOIN u ON c.seen = u.a),
+m AS (SELECT node, min(seen) AS least FROM c GROUP BY node)
+SELECT doc_id, n AS n_shingles, CASE WHEN n = 0 THEN doc_id ELSE least END AS component_id, CASE WHEN n = 0 THEN true ELSE least = doc_id END AS kept
+FROM k JOIN m ON k.rep = m.node
+"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lines, topk
+from . import lines, near_dedup, suffix_dedup, topk
 from .common import table
 
 
@@ -67,4 +67,9 @@ def op10_exact_top_k(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_html_text, op3_suffix_dedup, op4_bpe, op5_quality, op6_line_dedup, op7_fingerprints, op8_best_fit, op9_near_dedup, op10_exact_top_k)}
-ORACLE_SQL: dict[str, str] = {"op6_line_dedup": lines.ORACLE, "op10_exact_top_k": topk.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op3_suffix_dedup": suffix_dedup.ORACLE,
+    "op6_line_dedup": lines.ORACLE,
+    "op9_near_dedup": near_dedup.ORACLE,
+    "op10_exact_top_k": topk.ORACLE,
+}

@@ -252,3 +252,23 @@ def suffix_dedup(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     joined = with_spans(docs, stage(spans(docs, length), "spans"))
     return map_arrow(joined, _digests, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+
+
+#: The same in DuckDB by brute force: every window of every text is grouped by its bytes, written as hexadecimal digits.
+ORACLE = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT doc_id, h, CAST(length(h) // 2 AS BIGINT) AS n FROM d),
+c AS (SELECT doc_id, n, j, substr(h, 2 * j + 1, 2 * (500 + {LENGTH})) AS h FROM (SELECT doc_id, h, n, unnest(range(0, n, 500)) AS j FROM n)),
+w AS (SELECT doc_id, j + i AS i, md5(substr(h, 2 * i + 1, {2 * LENGTH})) AS k
+  FROM (SELECT doc_id, j, h, unnest(range(0, least(500, n - j - {LENGTH} + 1))) AS i FROM c WHERE n - j >= {LENGTH})),
+r AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+p AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM w WHERE k IN (SELECT k FROM r)),
+g AS (SELECT doc_id, i, sum(CASE WHEN b IS NULL OR i > b + {LENGTH} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM p),
+s AS (SELECT doc_id, run, min(i) AS a, max(i) + {LENGTH} AS z FROM g GROUP BY doc_id, run),
+o AS (SELECT doc_id, list(struct_pack(a := a, z := z) ORDER BY a) AS runs, sum(z - a) AS removed FROM s GROUP BY doc_id),
+t AS (SELECT n.doc_id, h, n, coalesce(runs, []) AS runs, coalesce(removed, 0) AS removed FROM n LEFT JOIN o ON n.doc_id = o.doc_id),
+e AS (SELECT *, list_concat([0], list_transform(runs, lambda x: x.z)) AS starts, list_concat(list_transform(runs, lambda x: x.a), [n]) AS ends FROM t)
+SELECT doc_id, n AS n_bytes, CAST(removed AS BIGINT) AS n_removed, CAST(len(runs) AS BIGINT) AS n_spans,
+  sha256(unhex(list_aggregate(list_transform(range(1, len(starts) + 1), lambda j: substr(h, 2 * starts[j] + 1, 2 * (ends[j] - starts[j]))), 'string_agg', ''))) AS kept_sha256
+FROM e
+"""
