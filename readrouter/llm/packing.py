@@ -24,8 +24,10 @@ from .bpe import encoder, vocabulary_path
 from .common import map_arrow, partitions, stage
 
 CAPACITY = 2048
-#: Rows of a plan that may be broadcast (48 bytes each).
+#: Rows of a plan that may be broadcast (56 bytes each).
 BROADCAST_SLOTS = 500_000
+#: Ranks of one length that share a key of the join with the plan, so that neither a common length nor its slots meet in one place.
+BLOCK = 1 << 16
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -115,13 +117,18 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     if any(x > capacity or x < 1 for x in histogram):
         raise ValueError(f"a piece is not within 1 to {capacity} tokens")
     slots = places(plan(histogram, capacity))
-    table = spark.createDataFrame(slots, "length bigint, _from bigint, _to bigint, _bin bigint, _each bigint, _offset bigint")
+    # A slot stands once in each block of ranks that it touches.
+    block = lambda rank: F.floor(rank / BLOCK).cast("bigint")
+    table = spark.createDataFrame(slots, "_length bigint, _from bigint, _to bigint, _bin bigint, _each bigint, _offset bigint")
+    table = table.withColumn("_block", F.explode(F.sequence(block(F.col("_from")), block(F.col("_to") - 1))))
+    size = sum((to - 1) // BLOCK - first // BLOCK + 1 for _, first, to, *_ in slots)
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     own = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece")
     ranked = dealt.withColumn("_at", F.row_number().over(own) - 1).join(bases, ["length", "_bucket"]).withColumn("_rank", F.col("_base") + F.col("_at"))
-    # Each combination uses up a length but for fewer pieces than it takes of it, so their number is bounded by capacity and its logarithm.
-    placed = ranked.join(F.broadcast(table) if len(slots) <= BROADCAST_SLOTS else table, (ranked["length"] == table["length"]) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))).drop(table["length"])
+    # Each combination uses up a length but for fewer pieces than it takes of it, so slots are bounded by capacity and its logarithm; blocks add the pieces / BLOCK.
+    fits = (F.col("length") == F.col("_length")) & (block(F.col("_rank")) == F.col("_block")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))
+    placed = ranked.join(F.broadcast(table) if size <= BROADCAST_SLOTS else table, fits)
     nth = F.col("_rank") - F.col("_from")
     return placed.select(
         *columns,
