@@ -88,7 +88,7 @@ def test_packing_by_blocks_of_ranks(spark, monkeypatch, slots):
     """A length that most pieces share is placed by blocks of its ranks, with the plan broadcast or dealt by a shuffle."""
     monkeypatch.setattr(packing, "BLOCK", 16)
     monkeypatch.setattr(packing, "BROADCAST_SLOTS", slots)
-    lengths = [64] * 700 + [random.Random(3).randint(1, 64) for _ in range(300)]
+    lengths = [64] * 700 + random.Random(3).choices(range(1, 65), k=300)
     pieces = spark.createDataFrame([(i // 2, i % 2, n) for i, n in enumerate(lengths)], "doc_id bigint, piece int, length bigint")
     rows = packing.pack(pieces, 64).collect()
     assert sorted((r["doc_id"], r["piece"], r["length"]) for r in rows) == sorted((i // 2, i % 2, n) for i, n in enumerate(lengths))
