@@ -8,6 +8,12 @@ different snippets of an anchor meet in one shard, where external induced sortin
 prefixes: a window is repeated if a neighbour in that order shares `length` bytes with it, or if its snippet was collapsed. All
 bytes of repeated windows go.
 
+A passage that many documents share has as many different snippets at its edges as it has neighbourhoods. An anchor of more than HOT
+different snippets is therefore split: its windows are taken PIECE at a time, by their distance from the gram, and a piece has as its
+anchor the bytes that all its windows must hold, length - PIECE + 1 of them. Equal windows still meet; the pieces of one anchor
+agree in all but PIECE - 1 bytes, so that few of them differ and equal ones are collapsed before the sort, as whole snippets are.
+A shard's anchors come one after another and are sorted GROUP bytes at a time, so a task's memory does not grow with its shard.
+
 Defined results: null text counts as empty; nothing goes from texts of fewer bytes than a window; copies of a text lose all
 of it (if as long as a window); a row with a null id neither is searched nor changed; rows that repeat an id must repeat its text,
 and repeat each other.
@@ -35,6 +41,10 @@ LENGTH, GRAM = 200, 32
 CHUNK = 1 << 20
 #: Shards for each shuffle partition.
 SHARDS = 3
+#: Different snippets of an anchor beyond which it is split, and the windows of a piece of it.
+HOT, PIECE = 256, 4
+#: Bytes of snippets that are sorted at once, and the rest of their last anchor.
+GROUP = 1 << 24
 _PLACE = np.uint64((1 << 24) - 1)
 ROWS = "anchor bigint, digest bigint, doc_id bigint, first int, last int"
 
@@ -120,6 +130,38 @@ def _cut_snippets(batches, length):
             yield pa.RecordBatch.from_arrays([*columns, pa.array(snippets, pa.binary())], ["anchor", "digest", "n", "snippet"])
 
 
+def pieces(snippet: bytes, anchor: int, length: int):
+    """(first window, last window, own anchor, digest) of the pieces of a snippet."""
+    windows = len(snippet) - length + 1
+    # The gram lies in every window, and each takes the leftmost.
+    inside = _gram_hashes(np.frombuffer(snippet, np.uint8)).view(np.int64)[windows - 1 : length - GRAM + 1]
+    gram = windows - 1 + int(np.argmax(inside == anchor))
+    i = 0
+    while i < windows:
+        near = (gram - i) // PIECE * PIECE  # the least distance of this piece's windows
+        last = min(windows - 1, gram - near)
+        core = snippet[gram - near : gram - near + length - PIECE + 1]
+        yield i, last, xxhash.xxh3_64_intdigest(core, (anchor + near) % (1 << 64)), xxhash.xxh3_64_intdigest(snippet[i : last + length])
+        i = last + 1
+
+
+PIECES = "anchor bigint, digest bigint, n bigint, doc_id bigint, first int, last int, start int, piece_anchor bigint, piece_digest bigint"
+
+
+def _cut_pieces(batches, length):
+    names = [x.split()[0] for x in PIECES.split(", ")]
+    for batch in (part for whole in batches for part in slices(whole, 1)):
+        for doc_id, text, wanted in zip(*(c.to_pylist() for c in batch.columns)):
+            data, rows = text.encode("utf-8", "surrogatepass"), []
+            for w in wanted:
+                for a, b, own, digest in pieces(data[w["first"] : w["last"] + length], w["anchor"], length):
+                    rows.append((w["anchor"], w["digest"], w["n"], doc_id, w["first"] + a, w["first"] + b, a, own, digest))
+            *numbers, own, digests = zip(*rows)
+            hashes = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (own, digests)]
+            kinds = [pa.int64()] * 4 + [pa.int32()] * 3
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, k) for x, k in zip(numbers, kinds)), *hashes], names)
+
+
 def repeated_windows(text: np.ndarray, length: int, limit: int, folder: str | None = None) -> np.ndarray:
     """Of each position of a text of snippets with a 0 after each, whether its window stands anywhere else too."""
     found = np.zeros(len(text), bool)
@@ -135,21 +177,31 @@ def repeated_windows(text: np.ndarray, length: int, limit: int, folder: str | No
 
 
 def _sort_shard(batches, length, limit):
-    """The repeated windows of each snippet, as runs counted from its first window. The shard's text lies in a file."""
+    """The repeated windows of each snippet, as runs counted from its first window, of rows that come by anchor. The text that is sorted lies in a file."""
     meta: list[tuple[int, int, int, int]] = []
+    size = 0
     with tempfile.TemporaryFile() as file:
         for batch in batches:
             for anchor, digest, n, snippet in zip(*(c.to_pylist() for c in batch.columns)):
+                if size >= GROUP and anchor != meta[-1][0]:
+                    yield from _sort_group(file, meta, length, limit)
+                    file.seek(0)
+                    file.truncate()
+                    meta, size = [], 0
                 meta.append((anchor, digest, n, len(snippet)))
                 # Bytes of UTF-8 stay below 254; 0 is left for the ends.
                 file.write((np.frombuffer(snippet, np.uint8) + np.uint8(1)).tobytes() + b"\0")
-        if not meta:
-            return
-        file.flush()
-        with mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ) as mapped:
-            text = np.frombuffer(mapped, np.uint8)
-            found = repeated_windows(text, length, limit)
-            del text
+                size += len(snippet) + 1
+        if meta:
+            yield from _sort_group(file, meta, length, limit)
+
+
+def _sort_group(file, meta, length, limit):
+    file.flush()
+    with mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ) as mapped:
+        text = np.frombuffer(mapped, np.uint8)
+        found = repeated_windows(text, length, limit)
+        del text
     at, rows = 0, []
     for anchor, digest, n, size in meta:
         windows = np.ones(size - length + 1, bool) if n > 1 else found[at : at + size - length + 1]
@@ -170,28 +222,71 @@ def _runs(rows):
     return pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(digest, pa.int64()), pa.array(runs, kind)], ["anchor", "digest", "runs"])
 
 
-def spans(documents: DataFrame, length: int = LENGTH, limit: int = 1 << 24) -> DataFrame:
+def _shared(counts: DataFrame, keys: list[str], hot: int) -> DataFrame:
+    """Of counts n by anchor and digest those whose anchor stands twice or more; mixed where its snippets differ, hot where more than `hot` do."""
+    by_anchor = Window.partitionBy(keys[0])
+    kinds = F.count("*").over(by_anchor)
+    found = counts.withColumn("_all", F.sum("n").over(by_anchor)).withColumn("mixed", kinds > 1).withColumn("hot", kinds > hot)
+    return found.where(F.col("_all") > 1).drop("_all")
+
+
+def _representatives(docs: DataFrame, snippets: DataFrame, name: str) -> DataFrame:
+    """The texts that hold snippets (anchor, digest, n, doc_id, first, last), each with those wanted of it."""
+    wanted = snippets.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "digest", "n", "first", "last")).alias("wanted"))
+    wanted = stage(wanted, name)
+    return keep_ids(docs, wanted.select("doc_id"), "doc_id").dropDuplicates(["doc_id"]).join(wanted, "doc_id")
+
+
+def spans(documents: DataFrame, length: int = LENGTH, limit: int = 1 << 24, hot: int = HOT) -> DataFrame:
     """doc_id and spans (array of from, to: byte offsets, not merged) of the documents that lose bytes."""
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     every = stage(map_arrow(docs, partial(_anchors, length=length), ROWS), "windows")
-    by_anchor = Window.partitionBy("anchor")
-    counts = every.groupBy("anchor", "digest").agg(F.count("*").alias("n"))
-    repeated = counts.withColumn("_all", F.sum("n").over(by_anchor)).withColumn("mixed", F.count("*").over(by_anchor) > 1).where(F.col("_all") > 1).drop("_all")
+    repeated = _shared(every.groupBy("anchor", "digest").agg(F.count("*").alias("n")), ["anchor", "digest"], hot)
     met = stage(every.join(repeated, ["anchor", "digest"]), "anchors")
-    snippets = met.where("mixed").groupBy("anchor", "digest", "n").agg(F.min(F.struct("doc_id", "first", "last")).alias("at"))
-    wanted = snippets.select("anchor", "digest", "n", "at.*").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "digest", "n", "first", "last")).alias("wanted"))
-    wanted = stage(wanted, "wanted")
-    holders = keep_ids(docs, wanted.select("doc_id"), "doc_id").dropDuplicates(["doc_id"])
-    cut = map_arrow(holders.join(wanted, "doc_id").select("text", "wanted"), partial(_cut_snippets, length=length), "anchor bigint, digest bigint, n bigint, snippet binary")
-    shards = cut.repartition(SHARDS * partitions(spark), "anchor")
+    at = F.min(F.struct("doc_id", "first", "last")).alias("at")
+    mixed = met.where("mixed").groupBy("anchor", "digest", "n", "hot").agg(at).select("anchor", "digest", "n", "hot", "at.*")
+    snippets = mixed.where("not hot").drop("hot")
+    split = None
+    if not met.where("hot").isEmpty():
+        holders = _representatives(docs, mixed.where("hot"), "wanted_hot").select("doc_id", "text", "wanted")
+        split = stage(map_arrow(holders, partial(_cut_pieces, length=length), PIECES), "pieces")
+        keys = ["piece_anchor", "piece_digest"]
+        same = split.groupBy(*keys).agg(F.sum("n").alias("n"), at)
+        split = split.drop("n", "doc_id")
+        same = stage(_shared(same, keys, hot).drop("hot"), "same_pieces")
+        snippets = snippets.unionByName(same.where("mixed").select(F.col(keys[0]).alias("anchor"), F.col(keys[1]).alias("digest"), "n", "at.*"))
+    cut = map_arrow(_representatives(docs, snippets, "wanted").select("text", "wanted"), partial(_cut_snippets, length=length), "anchor bigint, digest bigint, n bigint, snippet binary")
+    shards = cut.repartition(SHARDS * partitions(spark), "anchor").sortWithinPartitions("anchor")
     runs = stage(map_arrow(shards, partial(_sort_shard, length=length, limit=limit), "anchor bigint, digest bigint, runs array<struct<from:int,to:int>>"), "runs")
+    found = runs.select("anchor", "digest", F.explode("runs").alias("run")).select("anchor", "digest", "run.*")
     whole = met.where("not mixed").select("doc_id", F.col("first").alias("from"), (F.col("last") + length).alias("to"))
-    parts = met.where("mixed").join(runs, ["anchor", "digest"]).select("doc_id", "first", F.explode("runs").alias("run"))
-    parts = parts.select("doc_id", (F.col("first") + F.col("run.from")).alias("from"), (F.col("first") + F.col("run.to") + length).alias("to"))
+    parts = met.where("mixed and not hot").join(found, ["anchor", "digest"])
+    if split is not None:
+        # What was found of the pieces, counted from the first window of their snippets.
+        mine = split.join(same.select(*keys, "mixed"), keys)
+        equal = mine.where("not mixed").select("anchor", "digest", F.col("start").alias("from"), (F.col("start") + F.col("last") - F.col("first")).alias("to"))
+        by_piece = found.select(F.col("anchor").alias(keys[0]), F.col("digest").alias(keys[1]), F.col("from").alias("_from"), F.col("to").alias("_to"))
+        unequal = mine.where("mixed").join(by_piece, keys).select("anchor", "digest", (F.col("start") + F.col("_from")).alias("from"), (F.col("start") + F.col("_to")).alias("to"))
+        joined = equal.unionByName(unequal).groupBy("anchor", "digest").agg(F.collect_list(F.struct("from", "to")).alias("runs"))
+        joined = map_arrow(joined, _join_runs, "anchor bigint, digest bigint, runs array<struct<from:int,to:int>>")
+        whole_runs = joined.select("anchor", "digest", F.explode("runs").alias("run")).select("anchor", "digest", "run.*")
+        parts = parts.unionByName(met.where("hot").join(whole_runs, ["anchor", "digest"]))
+    parts = parts.select("doc_id", (F.col("first") + F.col("from")).alias("from"), (F.col("first") + F.col("to") + length).alias("to"))
     return whole.unionByName(parts).groupBy("doc_id").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
 
 
+def _join_runs(batches):
+    """Runs of windows that follow each other as one; a snippet has at most a window for each place of its gram."""
+    for batch in batches:
+        rows = []
+        for anchor, digest, runs in zip(*(c.to_pylist() for c in batch.columns)):
+            ends = [{"from": r["from"], "to": r["to"] + 1} for r in runs]
+            rows.append((anchor, digest, [{"from": a, "to": b - 1} for a, b in merge(ends)]))
+        if rows:
+            yield _runs(rows)
+
+
 def merge(found: list[dict] | None) -> list[tuple[int, int]]:
     """Spans as maximal runs."""
     out: list[tuple[int, int]] = []

@@ -68,9 +68,10 @@ def brute_spans(texts, length):
         yield b, covered
 
 
-@pytest.mark.parametrize("seed, chunk", [(0, suffix_dedup.CHUNK), (1, 700)])
-def test_suffix_dedup(spark, monkeypatch, seed, chunk):
+@pytest.mark.parametrize("seed, chunk, hot", [(0, suffix_dedup.CHUNK, suffix_dedup.HOT), (1, 700, suffix_dedup.HOT), (2, suffix_dedup.CHUNK, 2), (3, 700, 3)])
+def test_suffix_dedup(spark, monkeypatch, seed, chunk, hot):
     monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
+    monkeypatch.setattr(suffix_dedup.spans, "__defaults__", (200, 1 << 24, hot))
     texts = corpus(seed)
     found = {r["doc_id"]: r for r in suffix_dedup.suffix_dedup(documents(spark, texts)).collect()}
     assert len(found) == len(texts)
@@ -81,6 +82,50 @@ def test_suffix_dedup(spark, monkeypatch, seed, chunk):
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(data), int(covered.sum()), runs, hashlib.sha256(kept).hexdigest())
 
 
+@pytest.mark.parametrize("limit", [1 << 24, 300])
+def test_shards_are_sorted_by_groups_of_anchors(monkeypatch, limit):
+    import pyarrow as pa
+
+    rng = random.Random(limit)
+    passage = bytes(rng.choices(range(97, 101), k=80))
+    rows = [(anchor, i, 1, bytes(rng.choices(range(97, 101), k=rng.randint(0, 40))) + passage + bytes(rng.choices(range(97, 101), k=rng.randint(0, 40)))) for anchor in range(6) for i in range(rng.randint(1, 12))]
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], ["anchor", "digest", "n", "snippet"])
+    batches = [batch.slice(0, 7), batch.slice(7)]
+    found = {}
+    for group in (1 << 24, 500):
+        monkeypatch.setattr(suffix_dedup, "GROUP", group)
+        out = suffix_dedup._sort_shard(batches, 50, limit)
+        found[group] = {(r["anchor"], r["digest"]): r["runs"] for b in out for r in b.to_pylist()}
+    # Windows of different anchors differ in real shards; here the passage stands under each, so groups of one anchor find less.
+    for anchor, digest, _, snippet in rows:
+        others = [s for a, d, _, s in rows if a == anchor]
+        windows = [sum(s.startswith(snippet[i : i + 50], j) for s in others for j in range(len(s))) > 1 for i in range(len(snippet) - 49)]
+        want = {i for i, w in enumerate(windows) if w}
+        got = {i for r in found[500].get((anchor, digest), ()) for i in range(r["from"], r["to"] + 1)}
+        assert want <= got <= {i for r in found[1 << 24][anchor, digest] for i in range(r["from"], r["to"] + 1)}
+
+
+def test_pieces_share_their_anchor_where_their_windows_are_equal():
+    rng = random.Random(5)
+    passage = " ".join(rng.choice(WORDS) for _ in range(60)).encode()
+    owners = collections.defaultdict(set)
+    cores = collections.defaultdict(set)
+    for _ in range(40):
+        text = bytes(rng.choices(range(97, 123), k=rng.randint(100, 300))) + passage + bytes(rng.choices(range(97, 123), k=250))
+        number, anchor, digest, first, last = suffix_dedup.anchors([text], 200)
+        for a, f, z in zip(anchor.tolist(), first.tolist(), last.tolist()):
+            covered = 0
+            for i, j, own, piece in suffix_dedup.pieces(text[f : z + 200], a, 200):
+                assert i == covered and j - i < suffix_dedup.PIECE
+                covered = j + 1
+                for w in range(i, j + 1):
+                    owners[text[f + w : f + w + 200]].add(own)
+                cores[own].add(text[f + i : f + j + 200])
+            assert covered == z - f + 1
+    assert all(len(x) == 1 for x in owners.values())
+    assert max(len(x) for x in owners.values()) == 1 and any(len(x) > 1 for x in cores.values())
+
+
 def test_suffix_dedup_text(spark):
     texts = ["x" + "é" * 150 + "y", "z" + "é" * 150 + "w", None, "short"]
     docs = documents(spark, texts).unionByName(spark.createDataFrame([(None, "z" + "é" * 150 + "w", "x")], DOC))
