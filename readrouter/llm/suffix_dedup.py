@@ -9,7 +9,7 @@ prefixes: a window is repeated if a neighbour in that order shares `length` byte
 bytes of repeated windows go.
 
 A passage that many documents share has as many different snippets at its edges as it has neighbourhoods. An anchor of more than HOT
-different snippets is therefore split: its windows are taken PIECE at a time, by their distance from the gram, and a piece has as its
+different snippets, and more than the mean shard has, is therefore split: its windows are taken PIECE at a time, by their distance from the gram, and a piece has as its
 anchor the bytes that all its windows must hold, length - PIECE + 1 of them. Equal windows still meet; the pieces of one anchor
 agree in all but PIECE - 1 bytes, so that few of them differ and equal ones are collapsed before the sort, as whole snippets are.
 A shard's anchors come one after another and are sorted GROUP bytes at a time, so a task's memory does not grow with its shard.
@@ -41,7 +41,7 @@ LENGTH, GRAM = 200, 32
 CHUNK = 1 << 20
 #: Shards for each shuffle partition.
 SHARDS = 3
-#: Different snippets of an anchor beyond which it is split, and the windows of a piece of it.
+#: Different snippets that an anchor may always have without being split, and the windows of a piece of one that is.
 HOT, PIECE = 256, 4
 #: Bytes of snippets that are sorted at once, and the rest of their last anchor.
 GROUP = 1 << 24
@@ -222,12 +222,10 @@ def _runs(rows):
     return pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(digest, pa.int64()), pa.array(runs, kind)], ["anchor", "digest", "runs"])
 
 
-def _shared(counts: DataFrame, keys: list[str], hot: int) -> DataFrame:
-    """Of counts n by anchor and digest those whose anchor stands twice or more; mixed where its snippets differ, hot where more than `hot` do."""
-    by_anchor = Window.partitionBy(keys[0])
-    kinds = F.count("*").over(by_anchor)
-    found = counts.withColumn("_all", F.sum("n").over(by_anchor)).withColumn("mixed", kinds > 1).withColumn("hot", kinds > hot)
-    return found.where(F.col("_all") > 1).drop("_all")
+def _shared(counts: DataFrame, key: str) -> DataFrame:
+    """Of counts n by anchor and digest those whose anchor stands twice or more, with the number of its different snippets."""
+    by_anchor = Window.partitionBy(key)
+    return counts.withColumn("_all", F.sum("n").over(by_anchor)).withColumn("kinds", F.count("*").over(by_anchor)).where(F.col("_all") > 1).drop("_all")
 
 
 def _representatives(docs: DataFrame, snippets: DataFrame, name: str) -> DataFrame:
@@ -242,36 +240,38 @@ def spans(documents: DataFrame, length: int = LENGTH, limit: int = 1 << 24, hot:
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     every = stage(map_arrow(docs, partial(_anchors, length=length), ROWS), "windows")
-    repeated = _shared(every.groupBy("anchor", "digest").agg(F.count("*").alias("n")), ["anchor", "digest"], hot)
+    repeated = _shared(every.groupBy("anchor", "digest").agg(F.count("*").alias("n")), "anchor")
     met = stage(every.join(repeated, ["anchor", "digest"]), "anchors")
     at = F.min(F.struct("doc_id", "first", "last")).alias("at")
-    mixed = met.where("mixed").groupBy("anchor", "digest", "n", "hot").agg(at).select("anchor", "digest", "n", "hot", "at.*")
-    snippets = mixed.where("not hot").drop("hot")
+    mixed = stage(met.where("kinds > 1").groupBy("anchor", "digest", "n", "kinds").agg(at).select("anchor", "digest", "n", "kinds", "at.*"), "mixed")
+    shards = SHARDS * partitions(spark)
+    too_many = F.col("kinds") > max(hot, mixed.count() // shards)
+    snippets = mixed.where(~too_many).drop("kinds")
     split = None
-    if not met.where("hot").isEmpty():
-        holders = _representatives(docs, mixed.where("hot"), "wanted_hot").select("doc_id", "text", "wanted")
+    if not mixed.where(too_many).isEmpty():
+        holders = _representatives(docs, mixed.where(too_many), "wanted_hot").select("doc_id", "text", "wanted")
         split = stage(map_arrow(holders, partial(_cut_pieces, length=length), PIECES), "pieces")
         keys = ["piece_anchor", "piece_digest"]
         same = split.groupBy(*keys).agg(F.sum("n").alias("n"), at)
         split = split.drop("n", "doc_id")
-        same = stage(_shared(same, keys, hot).drop("hot"), "same_pieces")
-        snippets = snippets.unionByName(same.where("mixed").select(F.col(keys[0]).alias("anchor"), F.col(keys[1]).alias("digest"), "n", "at.*"))
+        same = stage(_shared(same, keys[0]), "same_pieces")
+        snippets = snippets.unionByName(same.where("kinds > 1").select(F.col(keys[0]).alias("anchor"), F.col(keys[1]).alias("digest"), "n", "at.*"))
     cut = map_arrow(_representatives(docs, snippets, "wanted").select("text", "wanted"), partial(_cut_snippets, length=length), "anchor bigint, digest bigint, n bigint, snippet binary")
-    shards = cut.repartition(SHARDS * partitions(spark), "anchor").sortWithinPartitions("anchor")
-    runs = stage(map_arrow(shards, partial(_sort_shard, length=length, limit=limit), "anchor bigint, digest bigint, runs array<struct<from:int,to:int>>"), "runs")
+    cut = cut.repartition(shards, "anchor").sortWithinPartitions("anchor")
+    runs = stage(map_arrow(cut, partial(_sort_shard, length=length, limit=limit), "anchor bigint, digest bigint, runs array<struct<from:int,to:int>>"), "runs")
     found = runs.select("anchor", "digest", F.explode("runs").alias("run")).select("anchor", "digest", "run.*")
-    whole = met.where("not mixed").select("doc_id", F.col("first").alias("from"), (F.col("last") + length).alias("to"))
-    parts = met.where("mixed and not hot").join(found, ["anchor", "digest"])
+    whole = met.where("kinds = 1").select("doc_id", F.col("first").alias("from"), (F.col("last") + length).alias("to"))
+    parts = met.where((F.col("kinds") > 1) & ~too_many).join(found, ["anchor", "digest"])
     if split is not None:
         # What was found of the pieces, counted from the first window of their snippets.
-        mine = split.join(same.select(*keys, "mixed"), keys)
-        equal = mine.where("not mixed").select("anchor", "digest", F.col("start").alias("from"), (F.col("start") + F.col("last") - F.col("first")).alias("to"))
+        mine = split.join(same.select(*keys, "kinds"), keys)
+        equal = mine.where("kinds = 1").select("anchor", "digest", F.col("start").alias("from"), (F.col("start") + F.col("last") - F.col("first")).alias("to"))
         by_piece = found.select(F.col("anchor").alias(keys[0]), F.col("digest").alias(keys[1]), F.col("from").alias("_from"), F.col("to").alias("_to"))
-        unequal = mine.where("mixed").join(by_piece, keys).select("anchor", "digest", (F.col("start") + F.col("_from")).alias("from"), (F.col("start") + F.col("_to")).alias("to"))
+        unequal = mine.where("kinds > 1").join(by_piece, keys).select("anchor", "digest", (F.col("start") + F.col("_from")).alias("from"), (F.col("start") + F.col("_to")).alias("to"))
         joined = equal.unionByName(unequal).groupBy("anchor", "digest").agg(F.collect_list(F.struct("from", "to")).alias("runs"))
         joined = map_arrow(joined, _join_runs, "anchor bigint, digest bigint, runs array<struct<from:int,to:int>>")
         whole_runs = joined.select("anchor", "digest", F.explode("runs").alias("run")).select("anchor", "digest", "run.*")
-        parts = parts.unionByName(met.where("hot").join(whole_runs, ["anchor", "digest"]))
+        parts = parts.unionByName(met.where(too_many).join(whole_runs, ["anchor", "digest"]))
     parts = parts.select("doc_id", (F.col("first") + F.col("from")).alias("from"), (F.col("first") + F.col("to") + length).alias("to"))
     return whole.unionByName(parts).groupBy("doc_id").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
 

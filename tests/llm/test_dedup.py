@@ -72,8 +72,11 @@ def brute_spans(texts, length):
 def test_suffix_dedup(spark, monkeypatch, seed, chunk, hot):
     monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
     monkeypatch.setattr(suffix_dedup.spans, "__defaults__", (200, 1 << 24, hot))
+    staged, stage = [], suffix_dedup.stage
+    monkeypatch.setattr(suffix_dedup, "stage", lambda df, name: [staged.append(name), stage(df, name)][1])
     texts = corpus(seed)
     found = {r["doc_id"]: r for r in suffix_dedup.suffix_dedup(documents(spark, texts)).collect()}
+    assert ("pieces" in staged) == (hot < suffix_dedup.HOT)
     assert len(found) == len(texts)
     for i, (data, covered) in enumerate(brute_spans(texts, 200)):
         kept = np.frombuffer(data, np.uint8)[~covered].tobytes()
