@@ -150,16 +150,25 @@ PIECES = "anchor bigint, digest bigint, n bigint, doc_id bigint, first int, last
 
 def _cut_pieces(batches, length):
     names = [x.split()[0] for x in PIECES.split(", ")]
+
+    def made(rows):
+        *numbers, own, digests = zip(*rows)
+        hashes = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (own, digests)]
+        kinds = [pa.int64()] * 4 + [pa.int32()] * 3
+        return pa.RecordBatch.from_arrays([*(pa.array(x, k) for x, k in zip(numbers, kinds)), *hashes], names)
+
     for batch in (part for whole in batches for part in slices(whole, 1)):
+        rows = []
         for doc_id, text, wanted in zip(*(c.to_pylist() for c in batch.columns)):
-            data, rows = text.encode("utf-8", "surrogatepass"), []
+            data = text.encode("utf-8", "surrogatepass")
             for w in wanted:
                 for a, b, own, digest in pieces(data[w["first"] : w["last"] + length], w["anchor"], length):
                     rows.append((w["anchor"], w["digest"], w["n"], doc_id, w["first"] + a, w["first"] + b, a, own, digest))
-            *numbers, own, digests = zip(*rows)
-            hashes = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (own, digests)]
-            kinds = [pa.int64()] * 4 + [pa.int32()] * 3
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, k) for x, k in zip(numbers, kinds)), *hashes], names)
+                if len(rows) >= 20_000:
+                    yield made(rows)
+                    rows = []
+        if rows:
+            yield made(rows)
 
 
 def repeated_windows(text: np.ndarray, length: int, limit: int, folder: str | None = None) -> np.ndarray:
