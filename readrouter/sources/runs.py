@@ -1,8 +1,10 @@
 """Run folders as a Spark data source: spark.read.format("base_calls").load(folder).
 
-A partition is a range of clusters of one tile (of a whole lane in the older format): of every cycle's block that range is kept, masked by the
-filter, turned from cycles to reads and sent as Arrow batches, so a task holds cycles times clusters_per_part bytes at most, beside one
-block. Planning reads only headers, tile lists and counts. The folder must be a path that driver and executors share.
+A partition is a range of clusters of one tile (of a whole lane in the older format). A block can only be inflated from its beginning, so a
+task inflates those of all cycles side by side and takes clusters_per_part clusters of them at a time (4,096 at least, which is less than the
+inflaters hold), masked by the filter, turned from cycles to reads and sent as Arrow batches: it holds cycles times that many bytes and the tile's
+filter. Where tiles are few, several tasks share one, and each passes over what stands before its range; their number doesn't grow with the
+tile. Planning reads only headers, tile lists and counts. The folder must be a path that driver and executors share.
 
 Options: lanes, tiles (comma-separated, to read only those), quality_map (linear or header), mode (FAILFAST or PERMISSIVE: a bad
 block decodes as N and !), clusters_per_batch, clusters_per_part.
@@ -25,8 +27,10 @@ from .runinfo import I1, I2, R1, R2, RunStructure, load_structure
 
 SCHEMA = "lane int, tile int, cluster bigint, sequence string, quality string, index1 string, index2 string, read2_sequence string, read2_quality string"
 HEADER_BYTES = 1 << 16
-#: Clusters of a tile that one task decodes.
-CLUSTERS_PER_PART = 1 << 19
+#: Clusters of a tile that a task decodes at once, and the least that it does.
+CLUSTERS_PER_PART, LEAST_CLUSTERS = 1 << 19, 1 << 12
+#: Tasks that a run's tiles are dealt to where they are fewer, but so many to a tile at most: a tile's blocks are inflated half as many times over.
+TASKS, TASKS_PER_TILE = 32, 8
 
 
 def base_calls_folder(folder: str) -> str:
@@ -81,12 +85,12 @@ def tile_table(path: str) -> tuple[binfmt.Header, list[binfmt.Tile]]:
 
 
 class TilePart(InputPartition):
-    """Clusters low to high of a tile: by cycle where its block lies (path, offset, size; None where it is missing) and where its filter lies."""
+    """Clusters low to high of a tile, step at a time: by cycle where its block lies (path, offset, size; None where it is missing) and where its filter lies."""
 
-    def __init__(self, lane, tile, clusters, blocks, quality, filter_path, filter_at, kind, low=0, high=None):
+    def __init__(self, lane, tile, clusters, blocks, quality, filter_path, filter_at, kind, low=0, high=None, step=CLUSTERS_PER_PART):
         super().__init__((lane, tile, low))
         self.lane, self.tile, self.clusters, self.blocks = lane, tile, clusters, blocks
-        self.low, self.high = low, clusters if high is None else high
+        self.low, self.high, self.step = low, clusters if high is None else high, step
         self.quality, self.filter_path, self.filter_at, self.kind = quality, filter_path, filter_at, kind
 
 
@@ -106,12 +110,16 @@ class RunReader(DataSourceReader):
         for lane, folder in lane_folders(self.folder):
             if lanes is None or lane in lanes:
                 parts += self._cbcl_lane(lane, folder) if kind == "cbcl" else self._bcl_lane(lane, folder)
-        return [q for p in parts if tiles is None or p.tile in tiles for q in self._ranges(p)]
+        parts = [p for p in parts if tiles is None or p.tile in tiles]
+        share = min(-(-TASKS // max(len(parts), 1)), TASKS_PER_TILE)
+        return [q for p in parts for q in self._ranges(p, share)]
 
-    def _ranges(self, part: "TilePart") -> list["TilePart"]:
-        step = max(int(self.options.get("clusters_per_part", CLUSTERS_PER_PART)), 1)
-        cut = lambda low: TilePart(part.lane, part.tile, part.clusters, part.blocks, part.quality, part.filter_path, part.filter_at, part.kind, low, min(low + step, part.clusters))
-        return [cut(low) for low in range(0, part.clusters, step)] or [part]
+    def _ranges(self, part: "TilePart", share: int) -> list["TilePart"]:
+        step = max(int(self.options.get("clusters_per_part", CLUSTERS_PER_PART)), LEAST_CLUSTERS)
+        step += step % 2  # a range begins with a whole byte
+        own = max(-(-part.clusters // (step * share)), 1) * step
+        cut = lambda low: TilePart(part.lane, part.tile, part.clusters, part.blocks, part.quality, part.filter_path, part.filter_at, part.kind, low, min(low + own, part.clusters), step)
+        return [cut(low) for low in range(0, max(part.clusters, 1), own)]
 
     def _cbcl_lane(self, lane: int, folder: str):
         blocks: dict[tuple[str, int], dict[int, tuple]] = {}
@@ -167,30 +175,54 @@ class RunReader(DataSourceReader):
             raise binfmt.FormatError(f"{part.filter_path[0]}: {len(passing)} clusters, tile {part.tile} has {part.clusters}")
         return passing
 
+    def _block(self, part: TilePart, place) -> binfmt.Inflating:
+        """A cycle's block at its first cluster."""
+        path, at, n = place
+        if part.kind == "cbcl":
+            return binfmt.Inflating(path, at, n, name=f"{path}, tile {part.tile}")
+        block = binfmt.Inflating(path, members=True)
+        head = block.read(4)
+        if len(head) < 4:
+            raise binfmt.FormatError(f"{path}: no cluster count")
+        if int.from_bytes(head, "little") != part.clusters:
+            raise binfmt.FormatError(f"lane {part.lane}: cycles of different cluster counts")
+        return block
+
+    def _sound(self, part: TilePart, place) -> bool:
+        """Whether a whole block can be read."""
+        try:
+            return self._block(part, place).skip() >= self._bytes(part, part.clusters)
+        except binfmt.FormatError:
+            return False
+
+    def _bytes(self, part: TilePart, clusters: int) -> int:
+        return clusters if part.kind == "bcl" else (clusters + 1) // 2
+
     def _cycles(self, part: TilePart):
-        """Base-call bytes by cycle of the part's clusters that pass, and their numbers."""
-        own = slice(part.low, part.high)
-        passing = self._passing(part)[own]
-        rows, values = np.zeros((len(part.blocks), int(passing.sum())), np.uint8), np.array(part.quality, np.uint8)
-        for i, place in enumerate(part.blocks):
-            if place is None:
-                continue
-            path, at, n = place
-            try:
-                if part.kind == "bcl":
-                    block = binfmt.read_calls(_read(path), path)
-                    if len(block) != part.clusters:
-                        raise binfmt.FormatError(f"lane {part.lane}: cycles of different cluster counts")
-                else:
-                    block = binfmt.unpack_block(_read(path, at, n), part.clusters, values, f"{path}, tile {part.tile}")
-                rows[i] = block[own][passing]
-            except binfmt.FormatError:
-                if not self.permissive:
-                    raise
-        return rows, np.flatnonzero(passing) + part.low
+        """Base-call bytes by cycle of the part's clusters that pass, and their numbers, again and again until all were given."""
+        passing, values = self._passing(part), np.array(part.quality, np.uint8)
+        blocks = {i: self._block(part, place) for i, place in enumerate(part.blocks) if place is not None and (not self.permissive or self._sound(part, place))}
+        for block in blocks.values():
+            block.skip(self._bytes(part, part.low))
+        for low in range(part.low, part.high, part.step):
+            high = min(low + part.step, part.high)
+            own = passing[low:high]
+            rows = np.zeros((len(part.blocks), int(own.sum())), np.uint8)
+            for i, block in blocks.items():
+                data = block.read(need := self._bytes(part, high - low))
+                if len(data) < need:
+                    raise binfmt.FormatError(f"{block.name}: block ends before {part.clusters} clusters")
+                rows[i] = (np.frombuffer(data, np.uint8) if part.kind == "bcl" else binfmt.call_bytes(data, high - low, values))[own]
+            yield rows, np.flatnonzero(own) + low
+        if part.high == part.clusters:
+            for block in blocks.values():
+                block.skip()
 
     def read(self, partition: TilePart):
-        calls, clusters = self._cycles(partition)
+        for calls, clusters in self._cycles(partition):
+            yield from self._batches(partition, calls, clusters)
+
+    def _batches(self, partition: TilePart, calls: np.ndarray, clusters: np.ndarray):
         order = np.array(self.structure.order(), np.int64) - 1
         step, lengths = int(self.options.get("clusters_per_batch", 65536)), self.structure.lengths
         for at in range(0, len(clusters), step):

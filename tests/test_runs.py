@@ -187,3 +187,42 @@ def test_folder_sizes_and_reports(spark, tmp_path):
     reports.write_summary(rows.groupBy("run").count(), str(tmp_path / "out"))
     for kind in ("json", "csv"):
         assert {tuple(r) for r in reports.read_summary(spark, str(tmp_path / "out"), "run string, count bigint", kind).collect()} == {("a", 2), ("b", 1)}
+
+
+@pytest.mark.parametrize("zipped", [False])
+def test_blocks_are_inflated_once_for_many_ranges(tmp_path, monkeypatch, zipped):
+    """Small clusters_per_part: the bytes inflated don't grow with the number of ranges; zipped: the older format, in two members."""
+    n, rng = 400, np.random.default_rng(7)
+    if zipped:
+        run_info(str(tmp_path), [(3, False)])
+        plain = rng.integers(0, 256, (3, n)).astype(np.uint8)
+        for c, row in enumerate(plain, 1):
+            folder = tmp_path / f"Data/Intensities/BaseCalls/L001/C{c}.1"
+            os.makedirs(folder)
+            (folder / "L001_1.bcl.gz").write_bytes(gzip.compress(struct.pack("<I", n) + row[:101].tobytes()) + gzip.compress(row[101:].tobytes()) + b"\0\0")
+        expected = {(1, 1101, i): "".join("N" if x < 4 else "ACGT"[x & 3] for x in plain[:, i]) for i in range(n)}
+    else:
+        expected = {k: v["sequence"] for k, v in decode([(3, False)], cbcl_run(str(tmp_path), [(3, False)], {1: [(1101, n)]}, rng)).items()}
+    inflated = []
+    some = binfmt.Inflating._some
+    monkeypatch.setattr(binfmt.Inflating, "_some", lambda self, most: (inflated.append(len(data := some(self, most))), data)[1])
+    monkeypatch.setattr(runs, "LEAST_CLUSTERS", 2)
+    reader = runs.RunReader(str(tmp_path), {"clusters_per_part": "1"})
+    parts = reader.partitions()
+    assert len(parts) == runs.TASKS_PER_TILE
+    rows = [r for p in parts for batch in reader.read(p) for r in batch.to_pylist()]
+    assert {(r["lane"], r["tile"], r["cluster"]): r["sequence"] for r in rows} == expected and len(rows) == len(expected)
+    assert sum(inflated) <= 3 * (n * (runs.TASKS_PER_TILE + 1) / 2 + 4 * runs.TASKS_PER_TILE)
+
+
+def test_end_of_a_damaged_block(tmp_path):
+    """Its last bytes decide on the whole block: with FAILFAST an error, with PERMISSIVE N everywhere."""
+    cbcl_run(str(tmp_path), [(3, False)], {1: [(1101, 20_000)]}, np.random.default_rng(3))
+    path = glob.glob(str(tmp_path / "Data/Intensities/BaseCalls/L001/C2.1/*.cbcl"))[0]
+    with open(path, "r+b") as f:
+        f.seek(-6, os.SEEK_END)  # the checksum
+        f.write(b"\1\2")
+    every = lambda **options: [s for r in [runs.RunReader(str(tmp_path), {"clusters_per_part": "1", **options})] for p in r.partitions() for b in r.read(p) for s in b.column("sequence").to_pylist()]
+    with pytest.raises(binfmt.FormatError, match="inflated"):
+        every()
+    assert {s[1] for s in every(mode="PERMISSIVE")} == {"N"}
