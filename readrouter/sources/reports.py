@@ -25,9 +25,24 @@ def read_summary(spark, folder: str, schema: str, kind: str = "json") -> DataFra
     return reader.json(f"{folder}/summary.json") if kind == "json" else reader.option("header", "true").csv(f"{folder}/summary.csv")
 
 
+def _two_digits(x) -> "F.Column":
+    """A double of 0 or more below 2^63 as text with two digits, by its exact binary value and halves to even, as C's printf; its decimal form may look like a half that it is not."""
+    whole = F.floor(x)
+    hundred = ((x - whole) * F.lit(2.0**56)).cast("bigint") * 100  # exact for whole numbers over a power of 2 of up to 56
+    cents, rest = F.shiftright(hundred, 56), hundred.bitwiseAND(F.lit((1 << 56) - 1))
+    cents = cents + F.when((rest > 1 << 55) | (rest == 1 << 55) & (cents % 2 == 1), 1).otherwise(0)
+    return F.format_string("%d.%02d", whole + F.when(cents == 100, 1).otherwise(0), cents % 100)
+
+
 def human_size(n) -> "F.Column":
-    """Bytes as text with two digits: B, KB, MB, GB or TB."""
-    text = F.format_string("%.2f TB", F.bround(n / F.lit(1024.0**4), 2))
+    """Whole bytes as text with two digits: B, KB, MB, GB or TB; null of null."""
+
+    def of(unit: str, power: int):
+        x = n / F.lit(1024.0**power)
+        exact = F.concat(F.when(n < 0, "-").otherwise(""), _two_digits(F.abs(x)), F.lit(f" {unit}"))
+        return F.when(F.abs(x) < 2.0**63, exact).otherwise(F.format_string(f"%.2f {unit}", F.bround(x, 2)))
+
+    text = of("TB", 4)
     for i, unit in reversed(list(enumerate(("B", "KB", "MB", "GB")))):
-        text = F.when(n < 1024 ** (i + 1), F.format_string(f"%.2f {unit}", F.bround(n / F.lit(1024.0**i), 2))).otherwise(text)
-    return text
+        text = F.when(n < 1024 ** (i + 1), of(unit, i)).otherwise(text)
+    return F.when(n.isNotNull(), text)

@@ -5,6 +5,7 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from readrouter import cli
 from readrouter.sources import binfmt, fastq, runs, samplesheet
@@ -226,3 +227,13 @@ def test_end_of_a_damaged_block(tmp_path):
     with pytest.raises(binfmt.FormatError, match="inflated"):
         every()
     assert {s[1] for s in every(mode="PERMISSIVE")} == {"N"}
+
+
+def test_human_size_rounds_the_exact_value(spark):
+    from readrouter.sources.reports import human_size
+
+    k = 637994.0  # its decimal form in TB ends in 5, its exact value is less
+    sizes = [k * k * k * 100, 0.0, 1023.0, 1024.0 * 1.125, 1024.0 * 1.375, 1048575.0, 1024.0**4 * 2.125, -5.0, None, 1e30, 3.0e19]
+    exact = lambda n: next(f"{n / 1024**i:.2f} {u}" for i, u in enumerate(("B", "KB", "MB", "GB", "TB")) if n < 1024 ** (i + 1) or u == "TB")
+    found = [r[0] for r in spark.createDataFrame([(x,) for x in sizes], "n double").coalesce(1).select(human_size(F.col("n"))).collect()]
+    assert found == [None if n is None else exact(n) for n in sizes]
