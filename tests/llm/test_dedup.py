@@ -200,6 +200,21 @@ def test_components(spark):
     assert found == {n: find(n) for a, b in edges if a != b for n in (a, b)}
 
 
+@pytest.mark.parametrize("at_once", [0, 1 << 22])
+def test_components_of_bounded_links_take_one_round(spark, monkeypatch, at_once):
+    """A path, whose rounds of joins grow with its length, a star and a link of a node with itself: two tables staged, as links fit one task, else many."""
+    monkeypatch.setattr(near_dedup, "EDGES_AT_ONCE", at_once)
+    staged = []
+    monkeypatch.setattr(near_dedup, "stage", lambda df, name, stage=near_dedup.stage: staged.append(name) or stage(df, name))
+    path = list(range(100, 164))
+    random.Random(5).shuffle(path)
+    edges = [*zip(path, path[1:]), *((7, i) for i in range(8, 20)), (-(1 << 62), 7), (3, 3)]
+    found = {r["node"]: r["component"] for r in near_dedup.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert found == {i: 100 for i in path} | {i: -(1 << 62) for i in [7, *range(8, 20), -(1 << 62)]}
+    assert (len(staged) == 2) == (at_once > 0)
+    assert near_dedup.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
 def elements(text):
     return collections.Counter(re.findall(r"[^ \t\n\x0b\f\r]+(?:[ \t\x0b\f\r]+[^ \t\n\x0b\f\r]+){0,11}", text))
 
