@@ -1,18 +1,20 @@
 """Run folders made of the derived reads, and queries that read them back; SQL says what must come out.
 
-Folders lie in the folder that driver and executors share. Tasks write the files: each tile of a lane its own files of a cycle, or each
-lane in the older format.
+Folders lie in the folder that driver and executors share. Tasks write the files: each tile of a lane its own files of a cycle. In the older
+format a lane has one file of a cycle, so tasks write pieces of it, and others join them: gzip members make one file one after another.
 """
 
 from __future__ import annotations
 
 import gzip
 import os
+import shutil
 import struct
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +28,8 @@ from .catalog import QUERIES, _matched, query  # noqa: F401
 SEGMENTS = (("sequence", "quality", 32, "N"), ("index1", None, 10, "Y"), ("index2", None, 8, "Y"), ("read2_sequence", "read2_quality", 32, "N"))
 #: Two bits for each quality letter of the derived reads, and the letters that they decode to.
 BINNED = "####----7777AAAA"
+#: Clusters of a lane that a task turns to cycles in the older format, and tasks that join them.
+PIECE, JOINERS = 1 << 15, 64
 
 
 def shared(spark: SparkSession, name: str) -> str:
@@ -46,18 +50,24 @@ def _run_info(folder: str) -> None:
         f.write(f'<?xml version="1.0"?><RunInfo><Run><Reads>{rows}</Reads></Run></RunInfo>')
 
 
+def _letters(column, width: int) -> np.ndarray:
+    """clusters x cycles: the letters of texts of one width."""
+    return np.frombuffer("".join(column.to_pylist() if isinstance(column, pa.ChunkedArray) else column).encode(), np.uint8).reshape(-1, width)
+
+
 def _grid(reads, n: int, qualities: bool) -> np.ndarray:
     """cycles x clusters: base in the low bits and quality (of 63) above; 0 where a cluster has no read or the base is N."""
     base = np.zeros(256, np.uint8)
     base[np.frombuffer(b"ACGT", np.uint8)] = range(4)
-    out, at = np.zeros((sum(x[2] for x in SEGMENTS), n), np.uint8), 0
+    out, at = np.zeros((n, sum(x[2] for x in SEGMENTS)), np.uint8), 0
     places = reads["cluster"].to_numpy()
     for name, quality, width, _ in SEGMENTS:
-        letters = np.frombuffer("".join(reads[name]).encode(), np.uint8).reshape(-1, width)
-        score = np.frombuffer("".join(reads[quality]).encode(), np.uint8).reshape(-1, width) - 33 if quality and qualities else np.full(letters.shape, 30, np.uint8)
-        out[at : at + width, places] = np.where(letters == ord("N"), 0, base[letters] | score << 2).T
+        letters = _letters(reads[name], width)
+        score = _letters(reads[quality], width) - 33 if quality and qualities else np.full(letters.shape, 30, np.uint8)
+        bases = np.frombuffer(letters.tobytes().translate(base.tobytes()), np.uint8).reshape(letters.shape)
+        out[places, at : at + width] = np.where(letters == ord("N"), 0, bases | score << 2)
         at += width
-    return out
+    return np.ascontiguousarray(out.T)
 
 
 def _write_tile(folder: str, frame):
@@ -86,28 +96,78 @@ def _write_tile(folder: str, frame):
     return pd.DataFrame({"lane": [lane], "n": [n]})
 
 
-def _write_lane(folder: str, frame):
-    """A whole lane in the older format: one gzipped file for each cycle."""
-    import pandas as pd
-
-    lane, n = int(frame["lane"].iloc[0]), int(frame["cluster"].max()) + 1
-    for c, row in enumerate(_grid(frame, n, True), 1):
-        where = os.path.join(folder, "Data", "Intensities", "BaseCalls", f"L{lane:03d}", f"C{c}.1")
-        os.makedirs(where, exist_ok=True)
-        with gzip.open(os.path.join(where, f"L{lane:03d}_1.bcl.gz"), "wb", 1) as f:
-            f.write(struct.pack("<I", n) + row.tobytes())
-    return pd.DataFrame({"lane": [lane], "n": [n]})
+def _write_piece(parts: str, table: pa.Table) -> pa.Table:
+    """Some clusters of a lane: a gzip member for each cycle, one after another behind the places where they end."""
+    lane, piece = table["lane"][0].as_py(), table["piece"][0].as_py()
+    places = table["cluster"].to_numpy() - piece * PIECE
+    table = table.set_column(table.schema.get_field_index("cluster"), "cluster", pa.chunked_array([pa.array(places)]))
+    n = int(places.max()) + 1
+    members = [gzip.compress(row.tobytes(), 1) for row in _grid(table, n, True)]
+    ends = np.cumsum([8 * (len(members) + 1), *map(len, members)]).astype("<i8")
+    _put(os.path.join(parts, f"{lane}_{piece}"), [ends.tobytes(), *members])
+    return pa.table({"lane": pa.array([lane], pa.int64()), "piece": pa.array([piece], pa.int64()), "n": pa.array([n], pa.int64())})
+
+
+def _put(path: str, data) -> None:
+    """A file that is there whole or not at all, whichever of a task's attempts writes it."""
+    own = f"{path}.{uuid.uuid4().hex}"
+    with open(own, "wb") as f:
+        f.writelines(data)
+    os.replace(own, path)
+
+
+def _cycle_file(parts: str, lane: int, cycle: int, pieces: list[tuple[int, int]]):
+    """The members of a lane's file of a cycle: the count, then its pieces in order; zeros where there are no reads."""
+    yield gzip.compress(struct.pack("<I", pieces[-1][0] * PIECE + pieces[-1][1]), 1)
+    at = 0
+    for piece, n in pieces:
+        for low in range(at, piece * PIECE, PIECE):
+            yield gzip.compress(bytes(min(PIECE, piece * PIECE - low)), 1)
+        with open(os.path.join(parts, f"{lane}_{piece}"), "rb") as f:
+            f.seek(8 * (cycle - 1))
+            start, end = struct.unpack("<qq", f.read(16))
+            f.seek(start)
+            yield f.read(end - start)
+        at = piece * PIECE + n
+
+
+def _join_pieces(batches, folder: str, parts: str, pieces: dict[int, list[tuple[int, int]]]):
+    """The files of the cycles and lanes of these numbers."""
+    cycles, lanes = sum(x[2] for x in SEGMENTS), sorted(pieces)
+    for batch in batches:
+        for i in batch.column(0).to_pylist():
+            lane, cycle = lanes[i // cycles], i % cycles + 1
+            where = os.path.join(folder, "Data", "Intensities", "BaseCalls", f"L{lane:03d}", f"C{cycle}.1")
+            os.makedirs(where, exist_ok=True)
+            _put(os.path.join(where, f"L{lane:03d}_1.bcl.gz"), _cycle_file(parts, lane, cycle, pieces[lane]))
+        yield batch
+
+
+def _write_lanes(reads: DataFrame, folder: str) -> None:
+    """Whole lanes in the older format: one gzipped file for each cycle."""
+    parts = os.path.join(folder, "parts")
+    os.makedirs(parts)
+    pieces: dict[int, list[tuple[int, int]]] = {}
+    cut = reads.withColumn("piece", F.floor(F.col("cluster") / PIECE).cast("bigint")).groupBy("lane", "piece")
+    for r in cut.applyInArrow(lambda table: _write_piece(parts, table), "lane bigint, piece bigint, n bigint").collect():
+        pieces.setdefault(r["lane"], []).append((r["piece"], r["n"]))
+    pieces = {lane: sorted(own) for lane, own in pieces.items()}
+    files = len(pieces) * sum(x[2] for x in SEGMENTS)
+    todo = reads.sparkSession.range(0, files, 1, max(min(files, JOINERS), 1))
+    todo.mapInArrow(lambda batches: _join_pieces(batches, folder, parts, pieces), "id bigint").count()
+    shutil.rmtree(parts)
 
 
 def make_run(reads: DataFrame, legacy: bool = False) -> str:
-    """A run folder of the reads (with pf); those of a tile must fit a task, as this is for tests and timing."""
+    """A run folder of the reads (with pf, but in the older format); those of a tile must fit a task, as this is for tests and timing."""
     spark = reads.sparkSession
     runs.register(spark)
     folder = shared(spark, "run")
     _run_info(folder)
-    write = _write_lane if legacy else _write_tile
-    grouped = reads.groupBy(*(["lane"] if legacy else ["lane", "tile"]))
-    grouped.applyInPandas(lambda frame: write(folder, frame), "lane bigint, n bigint").count()
+    if legacy:
+        _write_lanes(reads, folder)
+    else:
+        reads.groupBy("lane", "tile").applyInPandas(lambda frame: _write_tile(folder, frame), "lane bigint, n bigint").count()
     return folder
 
 
@@ -136,7 +196,8 @@ def run_scan_lanes_and_tiles(spark, d):
 SELECT lane, place AS cluster, sequence, replace(quality, '!', '#') AS quality, index1, index2, read2_sequence, replace(read2_quality, '!', '#') AS read2_quality FROM r""")
 def run_scan_legacy(spark, d):
     """Whole lanes in the older format, in ranges of clusters."""
-    reads = D.reads(spark, d).withColumn("cluster", F.floor(F.col("read_id") / 4).cast("bigint")).withColumns({c: F.translate(F.col(c), "!", "#") for c in ("quality", "read2_quality")})
+    reads = D.reads(spark, d, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    reads = reads.withColumn("cluster", F.floor(F.col("read_id") / 4).cast("bigint")).withColumns({c: F.replace(F.col(c), F.lit("!"), F.lit("#")) for c in ("quality", "read2_quality")})
     return _decoded(spark, make_run(reads, True), clusters_per_part=1000).drop("tile")
 
 

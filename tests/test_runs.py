@@ -2,6 +2,7 @@ import glob
 import gzip
 import os
 import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -216,6 +217,30 @@ def test_blocks_are_inflated_once_for_many_ranges(tmp_path, monkeypatch, zipped)
     assert sum(inflated) <= 3 * (n * (runs.TASKS_PER_TILE + 1) / 2 + 4 * runs.TASKS_PER_TILE)
 
 
+def test_a_lane_in_the_older_format_is_written_in_pieces(spark):
+    """A gzip member for the count and one for each piece, and zeros where a piece ends early or is missing."""
+    from readrouter.plans import runfolders as R
+
+    read = lambda lane, cluster, c: (lane, cluster, c * 32, "5" * 32, c * 10, c * 8, "ACGT" * 8, "?" * 32)
+    reads = [read(1, 2, "A"), read(1, 5, "C"), read(1, 2 * R.PIECE + 3, "G"), read(3, 0, "T"), read(3, R.PIECE - 1, "A"), read(3, R.PIECE, "C")]
+    schema = "lane bigint, cluster bigint, sequence string, quality string, index1 string, index2 string, read2_sequence string, read2_quality string"
+    folder = R.make_run(spark.createDataFrame(reads, schema), True)
+    found = R._decoded(spark, folder).drop("tile")
+    assert sorted(map(tuple, found.where("sequence not like 'N%'").select(*(x.split()[0] for x in schema.split(", "))).collect())) == sorted(reads)
+    assert sorted(map(tuple, found.groupBy("lane").agg(F.count("*"), F.countDistinct("cluster"), F.max("cluster")).collect())) == [(1, 2 * R.PIECE + 4, 2 * R.PIECE + 4, 2 * R.PIECE + 3), (3, R.PIECE + 1, R.PIECE + 1, R.PIECE)]
+    top = os.path.join(folder, "Data/Intensities/BaseCalls")
+    assert sorted(os.listdir(folder)) == ["Data", "RunInfo.xml"] and {f for _, _, names in os.walk(top) for f in names} == {"L001_1.bcl.gz", "L003_1.bcl.gz"}
+    for lane, sizes in ((1, [4, 6, R.PIECE, R.PIECE - 6, 4]), (3, [4, R.PIECE, 1])):
+        with open(f"{top}/L{lane:03d}/C82.1/L{lane:03d}_1.bcl.gz", "rb") as f:
+            data, members = f.read(), []
+        while data:
+            inflater = zlib.decompressobj(31)
+            members.append(len(inflater.decompress(data)))
+            data = inflater.unused_data
+        assert members[0] == 4 and sum(members) == sum(sizes) and len(members) >= 3
+
+
+
 def test_end_of_a_damaged_block(tmp_path):
     """Its last bytes decide on the whole block: with FAILFAST an error, with PERMISSIVE N everywhere."""
     cbcl_run(str(tmp_path), [(3, False)], {1: [(1101, 20_000)]}, np.random.default_rng(3))
